@@ -1,3 +1,10 @@
 """weftline: a Spark-native engine for building and analysing text corpora."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions shipped to Python workers carry their code, so executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
