@@ -157,10 +157,10 @@ def merged(table: DataFrame, batch: DataFrame, seen: DataFrame) -> DataFrame:
 def _verified(docs: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFrame:
     """groups, after the texts behind each group of several rows have been compared byte by byte."""
     several = groups.where("n > 1").select("digest")
-    ids = written(rows.select("doc_id", "digest").join(several, "digest", "left_semi").select(F.col("doc_id").alias("_id")).distinct(), "exact-positives")
+    ids = written(rows.select("doc_id", "digest").join(several, "digest", "left_semi").select(F.col("doc_id").alias("__id")).distinct(), "exact-positives")
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), SPACE, "")
     few = ids.count() <= BROADCAST
-    texts = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(F.sha2(text.cast("binary"), 256).alias("digest"), text.alias("bytes"))
+    texts = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(F.sha2(text.cast("binary"), 256).alias("digest"), text.alias("bytes"))
     differ = texts.groupBy("digest", "bytes").agg(F.count(F.lit(1)).alias("n")).groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
     if differ.limit(1).count():
         raise RuntimeError("two texts have one digest")
@@ -185,8 +185,8 @@ def dedup(docs: DataFrame, in_snapshot=None, shard_keys: int = 250_000) -> DataF
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """docs without the rows that dedup drops; of rows alike in id and text one stays."""
-    found = written(dedup(docs, **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")), "exact-kept")
+    found = written(dedup(docs, **options).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")), "exact-kept")
     normal = F.translate(F.coalesce(F.col("text"), F.lit("")), SPACE, "")
-    rows = docs.join(found.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.sha2(normal.cast("binary"), 256) == F.col("_digest")), "left_semi")
-    repeated = found.groupBy("_id", "_digest").count().where("count > 1").limit(1).count()
-    return rows.withColumn("_digest", F.sha2(normal.cast("binary"), 256)).dropDuplicates(["doc_id", "_digest"]).drop("_digest") if repeated else rows
+    rows = docs.join(found.distinct(), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.sha2(normal.cast("binary"), 256) == F.col("__digest")), "left_semi")
+    repeated = found.groupBy("__id", "__digest").count().where("count > 1").limit(1).count()
+    return rows.withColumn("__digest", F.sha2(normal.cast("binary"), 256)).dropDuplicates(["doc_id", "__digest"]).drop("__digest") if repeated else rows

@@ -129,9 +129,9 @@ def apply(docs: DataFrame, schedules: tuple = SCHEDULES, **options) -> DataFrame
     once = planned.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in need[1:]])
     words = F.when(F.col("copy") < F.col("base"), F.col("size")).otherwise(F.col("extra"))
     passes = once.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("base").cast("int")))).withColumn("words", words).where("words > 0")
-    passes = written(passes.select(F.col("doc_id").alias("_id"), "words", "size", position(F.col("copy"), schedules).alias("position")), "mix-passes")
+    passes = written(passes.select(F.col("doc_id").alias("__id"), "words", "size", position(F.col("copy"), schedules).alias("position")), "mix-passes")
     ends = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    cut = F.when(F.col("_mix.words") < F.col("_mix.size"), F.array_join(F.slice(ends, F.lit(1), F.col("_mix.words").cast("int")), "")).otherwise(F.col("text"))
-    rows = docs.join(passes.select("_id", F.struct("words", "size", "position").alias("_mix")), docs["doc_id"].eqNullSafe(F.col("_id")))
-    rows = rows.repartitionByRange("_mix.position", "doc_id").sortWithinPartitions("_mix.position", "doc_id")
+    cut = F.when(F.col("__mix.words") < F.col("__mix.size"), F.array_join(F.slice(ends, F.lit(1), F.col("__mix.words").cast("int")), "")).otherwise(F.col("text"))
+    rows = docs.join(passes.select("__id", F.struct("words", "size", "position").alias("__mix")), docs["doc_id"].eqNullSafe(F.col("__id")))
+    rows = rows.repartitionByRange("__mix.position", "doc_id").sortWithinPartitions("__mix.position", "doc_id")
     return rows.select(*[cut.alias("text") if c == "text" else F.col(c) for c in docs.columns])

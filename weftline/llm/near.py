@@ -92,7 +92,7 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     few = ids.count() <= BROADCAST
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_id"), "left_semi")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("__id"), "left_semi")
     return rows.mapInArrow(run, f"id {kind}, shingles array<bigint>")
 
 
@@ -127,7 +127,7 @@ def links(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int =
     keyed = rows.select("doc_id", F.posexplode("keys").alias("band", "key"))
     shared = written(keyed.groupBy("band", "key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi"), "near-buckets")
     members = written(keyed.join(shared.select("band", "key"), ["band", "key"]).distinct(), "near-members")
-    ids = members.select(F.col("doc_id").alias("_id")).unionAll(ends.select("a")).unionAll(ends.select("b")).unionAll(alike.select("a")).unionAll(alike.select("b")).distinct()
+    ids = members.select(F.col("doc_id").alias("__id")).unionAll(ends.select("a")).unionAll(ends.select("b")).unionAll(alike.select("a")).unionAll(alike.select("b")).distinct()
     sets = written(_sets(docs, written(ids, "near-ids"), size), "near-sets")
     found = written(_similar(ends.unionAll(alike).where("a > b").distinct(), sets, similarity).where("same").select("a", "b"), "near-links")
     while True:
@@ -149,6 +149,6 @@ def groups(docs: DataFrame, **options) -> DataFrame:
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs without all but the smallest id of each group."""
-    dropped = written(groups(docs, **options).where("doc_id <> group_id").select(F.col("doc_id").alias("_id")), "near-dropped")
+    dropped = written(groups(docs, **options).where("doc_id <> group_id").select(F.col("doc_id").alias("__id")), "near-dropped")
     few = dropped.count() <= BROADCAST
-    return docs.join(F.broadcast(dropped) if few else dropped, F.col("doc_id") == F.col("_id"), "left_anti")
+    return docs.join(F.broadcast(dropped) if few else dropped, F.col("doc_id") == F.col("__id"), "left_anti")

@@ -12,7 +12,7 @@ documents gathers in no task. Texts travel only to documents that hold candidate
 candidates' keys while they are counted and small, by a shuffle join beyond.
 
 Defined cases: null, empty and blank texts have no words; a null doc_id loses nothing and costs no other document
-anything; rows alike in doc_id do not remove each other's words; extra columns are ignored; very long texts
+anything; rows alike in doc_id do not remove each other's words (`clean` asks for ids of one row each); extra columns are ignored; very long texts
 are hashed in pieces and judged whole.
 """
 
@@ -253,10 +253,10 @@ def dedup(docs: DataFrame, window: int = 50) -> DataFrame:
 def clean(docs: DataFrame, window: int = 50) -> DataFrame:
     """docs with repeated words taken out of text; texts that lose nothing stay as they are."""
     rows, runs = _settled(docs, window)
-    cut = _cut(docs, runs, texts=True).dropDuplicates(["doc_id", "seq1"]).select(F.col("doc_id").alias("_id"), "kept")
-    gone = rows.where("gone").select(F.col("doc_id").alias("_id"), F.lit("").alias("kept"))
-    joined = docs.join(written(cut.unionAll(gone), "substring-kept"), F.col("doc_id") == F.col("_id"), "left")
-    return joined.select(*[F.coalesce("kept", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    cut = _cut(docs, runs, texts=True).dropDuplicates(["doc_id", "seq1"]).select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"))
+    gone = rows.where("gone").select(F.col("doc_id").alias("__id"), F.lit("").alias("__kept")).distinct()
+    joined = docs.join(written(cut.unionAll(gone), "substring-kept"), F.col("doc_id") == F.col("__id"), "left")
+    return joined.select(*[F.coalesce("__kept", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
 
 def longest(docs: DataFrame, window: int = 50) -> DataFrame:
