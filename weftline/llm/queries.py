@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import exact, language, mixing, pieces, secrets, simhash, substrings, tokens, topk, toxicity
+from weftline.llm import exact, language, mixing, pieces, secrets, simhash, sql, substrings, tokens, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,4 +69,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ALL)
