@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,8 +106,6 @@ def normalize(c: Column, steps: Sequence[str] = DEFAULT_STEPS, form: str | None
 
 def unicode_form(form: str = "NFC"):
     """A pandas UDF: HTML entities unescaped, then the Unicode form; the JVM has no expression for it."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def apply(texts: pd.Series) -> pd.Series:
         import html
@@ -163,8 +162,6 @@ def levenshtein(a: Column, b: Column) -> Column:
 
 def best_substring_distance():
     """A pandas UDF: least edit distance of the first text to any substring of the second."""
-    import pandas as pd
-
     @F.pandas_udf("int")
     def apply(a: pd.Series, b: pd.Series) -> pd.Series:
         def one(x, y):

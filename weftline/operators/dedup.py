@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.plans.registry import op
+from weftline.plans.tables import written
 
 PRIME = 2**31 - 1
 
@@ -32,16 +30,6 @@ def min_hashes(shingles: Column, permutations: int) -> Column:
     return F.transform(params, lambda p: F.array_min(F.transform(h, lambda x: F.pmod(x * p["a"] + p["b"], F.lit(PRIME)))))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the folder that spark.checkpoint.dir names; a local one only where it is unset."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="weftline-"))
-    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/weftline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @op("minhash_groups")
 def minhash_groups(df: DataFrame, id_key: str, text: str = "text", size: int = 5, threshold: float = 0.5, permutations: int = 128, bands: int = 32) -> DataFrame:
     """(id, group): documents linked by a Jaccard similarity of at least threshold; the group is its smallest id.

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.plans.registry import op
+from weftline.plans.tables import written
 
 
 def _list(x: str | Sequence[str]) -> list[str]:
@@ -102,14 +103,13 @@ def asof_join(df: DataFrame, source: DataFrame, on: str, values: Sequence[str],
     empty = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns if c not in keys]
     right = source.select(*keys, *empty, F.col(on).alias("__t"), carried.alias("__src"), F.lit(2 if strict else 0).alias("__k"))
     both = left.unionByName(right)
-    tie = F.col("__k") if backward else -F.col("__k") if not strict else F.col("__k")
-    order = [F.col("__t").asc() if backward else F.col("__t").desc(), tie.asc()]
+    order = [F.col("__t").asc() if backward else F.col("__t").desc(), F.col("__k").asc()]
     if keys:
         parts = [F.col(k) for k in keys]
         last = F.last("__src", True).over(Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
         found = both.withColumn("__hit", last)
     else:
-        spread = both.repartitionByRange(F.col("__t").asc() if backward else F.col("__t").desc()).withColumn("__part", F.spark_partition_id())
+        spread = written(both.repartitionByRange(F.col("__t").asc() if backward else F.col("__t").desc()).withColumn("__part", F.spark_partition_id()), "timeline")
         inside = F.last("__src", True).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
         best = F.max_by("__src", "__t") if backward else F.min_by("__src", "__t")
         ends = spread.where("__src is not null").groupBy("__part").agg(best.alias("__end"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.plans.registry import op
+from weftline.plans.tables import written
 
 
 @op("label_codes")
@@ -79,11 +80,12 @@ def label_model(df: DataFrame, item: str, annotator: str, label: str, rounds: in
     k = max(votes.select(label).distinct().count(), 2)
     for _ in range(rounds):
         right = F.sum(F.when(F.col(label) == F.col("__now"), 1.0).otherwise(0.0))
-        skill = votes.join(current, item).groupBy(annotator).agg(((right + 1) / (F.count(F.lit(1)) + k)).alias("a"))
-        weighed = votes.join(skill, annotator).withColumn("w", F.log(F.col("a") * (k - 1) / (1 - F.col("a"))))
-        sums = weighed.groupBy(item, label).agg(F.exp(F.sum("w")).alias("e"))
-        scored = sums.withColumn("probability", F.col("e") / F.sum("e").over(Window.partitionBy(item)))
-        current = scored.groupBy(item).agg(F.min_by(label, F.struct((-F.col("probability")).alias("p"), F.col(label).alias("l"))).alias("__now")).checkpoint()
+        skill = votes.join(current, item).groupBy(annotator).agg(((right + 1) / (F.count(F.lit(1)) + k)).alias("__a"))
+        weighed = votes.join(skill, annotator).withColumn("__w", F.log(F.col("__a") * (k - 1) / (1 - F.col("__a"))))
+        sums = weighed.groupBy(item, label).agg(F.exp(F.sum("__w")).alias("__e"))
+        scored = sums.withColumn("probability", F.col("__e") / F.sum("__e").over(Window.partitionBy(item)))
+        current = scored.groupBy(item).agg(F.min_by(label, F.struct((-F.col("probability")).alias("p"), F.col(label).alias("l"))).alias("__now"))
+        current = written(current, "labels")
     best = scored.groupBy(item).agg(F.min_by(F.struct(label, "probability"), F.struct((-F.col("probability")).alias("p"), F.col(label).alias("l"))).alias("b"))
     return best.select(item, "b.*")
 

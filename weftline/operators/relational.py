@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.plans.registry import op
+from weftline.plans.tables import written
 
 
 def _list(x: str | Sequence[str] | None) -> list[str]:
@@ -134,7 +135,8 @@ def reset_index(df: DataFrame, order_by: str | Sequence[str], index: str = "id",
     keys = _list(order_by)
     if drop_index:
         df = df.drop(index)
-    spread = df.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id())
+    # Written: range bounds are sampled, so a second evaluation could deal rows to other partitions.
+    spread = written(df.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()), "ranged")
     sizes = spread.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     place = F.row_number().over(Window.partitionBy("__part").orderBy(*keys)) - 1

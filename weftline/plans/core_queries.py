@@ -499,3 +499,70 @@ def s20(spark, d):
 def r03(spark, d):
     w = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "10 minutes"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     return w.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+# Subword vocabularies, topics, vectors, Korean text.
+
+@query("b01_bpe", None)
+def b01(spark, d):
+    from weftline.operators import subword
+
+    df = table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
+    ranks = {p: i for i, p in enumerate(subword.train_bpe(subword.word_counts(df, max_words=2000), 200))}
+    return df.select("doc_id", F.size(subword.encode(F.col("text"), lambda w: subword.bpe_word(w, ranks))).alias("n_pieces"))
+
+
+@query("b04_unigram", None)
+def b04(spark, d):
+    from weftline.operators import subword
+
+    df = table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
+    model = subword.train_unigram(subword.word_counts(df, max_words=1000), 500, rounds=2)
+    return df.select("doc_id", F.size(subword.encode(F.col("text"), lambda w: subword.unigram_word(w, model))).alias("n_pieces"))
+
+
+@query("b06_branching", None)
+def b06(spark, d):
+    from weftline.operators import subword
+
+    df = table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
+    scores = subword.branching_scores(subword.word_counts(df, max_words=2000))
+    return df.select("doc_id", F.size(subword.encode(F.col("text"), lambda w: subword.branching_word(w, scores))).alias("n_pieces"))
+
+
+@query("g09_sentences", None)
+def g09(spark, d):
+    from weftline.functions import hangul
+
+    return table(spark, d, "documents").select("doc_id", F.posexplode(hangul.sentences_column(F.col("text"))).alias("n", "sentence"))
+
+
+@query("m03_topics", None)
+def m03(spark, d):
+    from weftline.operators import ml
+
+    docs = ml.topic_tokens(_tokens(spark, d), "tokens")
+    model = ml.TopicModel(4, 2000, 5).fit(docs, "tokens")
+    return metrics.topic_coherence(docs, model.words(5), "doc_id", "tokens")
+
+
+@query("m05_embedding_neighbours", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT e FROM v WHERE vec_id = 0)
+    SELECT v.vec_id, round(list_inner_product(v.e, q.e) / (sqrt(list_inner_product(v.e, v.e)) * sqrt(list_inner_product(q.e, q.e))), 6) AS cosine FROM v CROSS JOIN q WHERE v.vec_id <> 0 ORDER BY cosine DESC, vec_id LIMIT 20""")
+def m05(spark, d):
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    one = v.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    return v.where("vec_id <> 0").crossJoin(F.broadcast(one)).select("vec_id", _r(metrics.cosine(F.col("embedding"), F.col("q"))).alias("cosine")).orderBy(F.desc("cosine"), "vec_id").limit(20)
+
+
+@query("m14_impulse_response", None)
+def m14(spark, d):
+    from weftline.operators import ml
+
+    daily = table(spark, d, "events").groupBy(F.to_date("ts").alias("day"), F.hour("ts").alias("hour")).agg(F.avg("value").alias("a"), F.count(F.lit(1)).cast("double").alias("b"))
+    return ml.impulse_response(daily.withColumn("o", F.concat_ws("-", F.col("day").cast("string"), F.lpad(F.col("hour").cast("string"), 2, "0"))), ["a", "b"], "o", 2, 5)
+
+
+@query("decontaminate_benchmark", None)
+def decontaminate(spark, d):
+    tokens = lambda df, i: df.select(i, F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("tokens"))
+    return dedup.decontaminate(tokens(table(spark, d, "documents"), "doc_id"), tokens(table(spark, d, "benchmark"), "item_id"), "tokens", "tokens", 8).select("doc_id", "overlap")
