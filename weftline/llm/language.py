@@ -69,57 +69,73 @@ def fit(docs: DataFrame, train: Column, docs_per_lang: int = 1500, max_words: in
 
 
 def _logs(rows: list, key: str, langs: list[str], totals: dict) -> dict:
-    """key -> log frequency by language, with half a count for what was not seen."""
+    """key -> log frequency by language, with half a count for each key that was not seen."""
     at = {lang: i for i, lang in enumerate(langs)}
     out: dict = {}
     for r in rows:
         out.setdefault(r[key], np.full(len(langs), 0.5))[at[r["lang"]]] += r["n"]
-    base = np.array([math.log(max(totals[x], 1) + 1) for x in langs])
+    base = np.array([math.log(totals[x] + 0.5 * len(out) + 1) for x in langs])
     return {k: (np.log(v) - base).astype("float32") for k, v in out.items()}
 
 
 class Scorer:
-    """Scores words against a model; keeps at most `keep` words' scores."""
+    """Scores texts against a model: words become rows of one matrix of log frequencies, summed by numpy."""
 
-    def __init__(self, model: dict, keep: int = 100_000):
-        self.model, self.keep, self.known = model, keep, {}
-        self.zero = np.zeros(len(model["langs"]), "float32")
+    def __init__(self, model: dict):
+        rows: list[np.ndarray] = [np.zeros(len(model["langs"]), "float32")]
 
-    def word(self, w: str) -> np.ndarray:
-        found = self.model["words"].get(w)
+        def numbered(table: dict) -> dict[str, int]:
+            start = len(rows)
+            rows.extend(table.values())
+            return {k: start + i for i, k in enumerate(table)}
+
+        self.words = numbered(model["words"])
+        self.grams = [(n, numbered(model["grams"][n])) for n in GRAMS]
+        self.rows = np.array(rows)
+
+    def word(self, w: str) -> list[int]:
+        """The rows whose mean is the word's score: its own, or those of its longest n-grams that are known by half or more."""
+        found = self.words.get(w)
         if found is not None:
-            return found
+            return [found]
         padded = f" {w[:200]} "
-        for n in GRAMS:
+        for n, table in self.grams:
             grams = [padded[i : i + n] for i in range(max(1, len(padded) - n + 1))]
-            hits = [v for g in grams if (v := self.model["grams"][n].get(g)) is not None]
+            hits = [v for v in map(table.get, grams) if v is not None]
             if hits and 2 * len(hits) >= len(grams):
-                return np.mean(hits, axis=0)
-        return self.zero
-
-    def chunk(self, text: str) -> tuple[np.ndarray, int]:
-        """Summed scores and number of the letter runs of a piece of lower-case text."""
-        found = self.known.get(text)
-        if found is None:
-            words = _LETTERS.findall(text)
-            found = (np.sum([self.word(w) for w in words], axis=0) if words else self.zero, len(words))
-            if len(self.known) >= self.keep:
-                self.known.clear()
-            self.known[text] = found
-        return found
+                return hits
+        return [0]
+
+    def chunks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Summed scores and numbers of the letter runs of pieces of lower-case text."""
+        rows: list[int] = []
+        sizes: list[int] = []  # rows of each word
+        counts: list[int] = []  # words of each piece
+        for t in texts:
+            words = (t,) if t.isalpha() else _LETTERS.findall(t)
+            counts.append(len(words))
+            for w in words:
+                found = self.word(w)
+                rows += found
+                sizes.append(len(found))
+        scores = np.zeros((len(texts), self.rows.shape[1]))
+        if rows:
+            n, k = np.array(sizes), np.array(counts)
+            means = np.add.reduceat(self.rows[np.array(rows)], np.cumsum(n) - n, axis=0) / n[:, None]
+            full = k > 0
+            scores[full] = np.add.reduceat(means, (np.cumsum(k) - k)[full], axis=0)
+        return scores, np.array(counts, "float64")
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Summed scores (rows x languages) and word counts of texts."""
         chunks = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
         flat = chunks.flatten().dictionary_encode()
-        table = [self.chunk(x or "") for x in flat.dictionary.to_pylist()] or [(self.zero, 0)]
+        scores, sizes = self.chunks([x or "" for x in flat.dictionary.to_pylist()])
         codes = np.asarray(flat.indices) if len(flat) else np.zeros(0, int)
         ends = np.cumsum(np.asarray(pc.list_value_length(chunks)))
         starts = np.concatenate([[0], ends[:-1]])
-        scores = np.array([t[0] for t in table], "float64")
-        sums = np.zeros((len(texts), len(self.zero)))
+        sums = np.zeros((len(texts), self.rows.shape[1]))
         counts = np.zeros(len(texts))
-        sizes = np.array([t[1] for t in table], "float64")
         full = ends > starts
         if full.any():
             counts[full] = np.add.reduceat(sizes[codes], starts[full])

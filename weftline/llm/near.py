@@ -6,9 +6,9 @@ texts at similarity 0.8 differ in about ten of 64 fingerprint bits, and a coveri
 thousands of tables; README.md has the figures. Every candidate is settled by the exact Jaccard similarity of
 the documents' shingle sets.
 
-In a bucket each document is compared with one representative, the smallest id; those that are not similar
-to it form the bucket's next round, until no bucket has two documents left. So the comparisons follow the documents, not
-the pairs, and no group is gathered. Links become components by star steps; the smallest id stays.
+In a bucket each document is compared with one representative, the smallest id; those that are not similar to it
+go on to the next round in buckets that the next band's key divides further, until no bucket has two documents left. So the
+comparisons follow the documents, not the pairs, and no group is gathered. Links become components by star steps; the smallest id stays.
 
 Defined cases: null, empty and blank texts have no shingles and are all kept; a text of fewer words than a shingle has
 its whole word sequence as one; rows with a null doc_id are kept; rows alike in doc_id are kept or dropped
@@ -130,6 +130,7 @@ def links(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int =
     ids = members.select(F.col("doc_id").alias("__id")).unionAll(ends.select("a")).unionAll(ends.select("b")).unionAll(alike.select("a")).unionAll(alike.select("b")).distinct()
     sets = written(_sets(docs, written(ids, "near-ids"), size), "near-sets")
     found = written(_similar(ends.unionAll(alike).where("a > b").distinct(), sets, similarity).where("same").select("a", "b"), "near-links")
+    depth = 0
     while True:
         least = written(members.groupBy("band", "key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("band", "key", "lo"), "near-heads")
         pairs = written(members.join(least, ["band", "key"]).where("doc_id > lo").select("band", "key", "doc_id", "lo"), "near-pairs")
@@ -138,7 +139,10 @@ def links(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int =
         checked = written(_similar(pairs.select(F.col("doc_id").alias("a"), F.col("lo").alias("b")).distinct(), sets, similarity), "near-checked")
         found = written(found.unionAll(checked.where("same").select("a", "b")).distinct(), "near-links")
         others = checked.where("not same").select(F.col("a").alias("doc_id"), F.col("b").alias("lo"))
-        members = written(pairs.join(others, ["doc_id", "lo"], "left_semi").select("doc_id", "band", "key"), "near-members")
+        rest = written(pairs.join(others, ["doc_id", "lo"], "left_semi").select("doc_id", "band", "key"), "near-rest")
+        depth += 1
+        finer = F.xxhash64("key", F.element_at("keys", F.pmod(F.col("band") + depth, F.lit(BANDS)) + 1))
+        members = written(rest.join(rows.select("doc_id", "keys"), "doc_id").select("doc_id", "band", finer.alias("key")).distinct(), "near-members")
 
 
 def groups(docs: DataFrame, **options) -> DataFrame:

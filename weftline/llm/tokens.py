@@ -50,7 +50,7 @@ _SEEK = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 class Encoder:
     """Ids of texts by the tokenizers library (spec: a tokenizer's JSON), a distinct word at a time; keeps at most `keep` words' ids."""
 
-    def __init__(self, spec: str, keep: int = 100_000):
+    def __init__(self, spec: str, keep: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -198,7 +198,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, maker = Encoder(spec.value), FileMaker()
         end = np.array([end_id], np.uint32)
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 6 << 20):
             ids, ends = encoder.texts(batch.column("text"))
             start = 0
             for doc_id, stop in zip(batch.column("doc_id").to_pylist(), ends.tolist(), strict=True):
