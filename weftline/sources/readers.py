@@ -51,20 +51,20 @@ def _unpacked(name: str, data: bytes) -> Iterator[tuple[str, bytes]]:
     elif name.endswith(".zst"):
         import zstandard
 
-        yield from _unpacked(name.removesuffix(".zst"), zstandard.ZstdDecompressor().decompressobj().decompress(data))
+        yield from _unpacked(name.removesuffix(".zst"), zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True).read())
     else:
         yield name, data
 
 
-def load_archives(spark: SparkSession, path: str, parser: Callable[[str, bytes], Iterator[dict]] | str = "plaintext", schema: str = "text string", **options) -> DataFrame:
-    """(path, member, ...parsed columns) of every member of archives and compressed files, a file to a task at a time."""
+def load_archives(spark: SparkSession, path: str, parser: Callable[[str, bytes], Iterator[dict]] | str = "plaintext", schema: str = "text string", suffix: str = "", **options) -> DataFrame:
+    """(path, member, ...parsed columns) of every member of archives and compressed files, a file to a task at a time; suffix is taken as the end of names that do not tell."""
     parse = parser if callable(parser) else PARSERS[parser]
     names = [f.name for f in spark.createDataFrame([], schema).schema]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for file, data in zip(frame["path"], frame["content"], strict=True):
-                for member, content in _unpacked(file, bytes(data)):
+                for member, content in _unpacked(file + suffix, bytes(data)):
                     rows = list(parse(member, content, **options))
                     yield pd.DataFrame({"path": [file] * len(rows), "member": [member] * len(rows)} | {n: [r.get(n) for r in rows] for n in names})
 
@@ -101,6 +101,15 @@ def _json(name: str, data: bytes, field: str | None = None, text: str = "text",
         yield {"text": separator.join(s for x in found if (s := str(x).strip())) if isinstance(found, list) else found}
 
 
+def _dat(name: str, data: bytes) -> Iterator[dict]:
+    """Records with their length in bytes before them, 16 digits."""
+    at = 0
+    while at < len(data):
+        end = at + 16 + int(data[at : at + 16])
+        yield {"text": data[at + 16 : end].decode()}
+        at = end
+
+
 def _mail(name: str, data: bytes) -> Iterator[dict]:
     import email
     import email.policy
@@ -173,7 +182,7 @@ def _redif(name: str, data: bytes) -> Iterator[dict]:
 
 
 #: Parsers by name: (member name, bytes, options) to rows.
-PARSERS = {"plaintext": _plain, "plaintext_split": _lines, "jsonlines": _jsonlines, "json": _json, "email": _mail, "html": _html, "redif": _redif}
+PARSERS = {"plaintext": _plain, "plaintext_split": _lines, "jsonlines": _jsonlines, "json": _json, "dat": _dat, "email": _mail, "html": _html, "redif": _redif}
 
 
 def html_column(c: Column) -> Column:
