@@ -290,3 +290,26 @@ def test_near_duplicates(spark, odd, empty):
     assert kept == {i for i in texts if find(i) == i or i not in spoken} if len(spoken) == len(texts) else kept >= {i for i in ids if find(i) == i}
     assert near.keep_one(odd).columns == odd.columns and near.keep_one(empty).count() == 0
     assert {4, 5, 6, 7} <= {i for i, _ in pairs(near.keep_one(odd))} and 8 not in {i for i, _ in pairs(near.keep_one(odd))}
+
+
+def test_near_duplicates_of_a_family(spark):
+    """Every pair of edited copies that shares a band at the similarity is in one group."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(9999)}" for _ in range(150)]
+    texts = {}
+    for i in range(400):
+        words = list(base)
+        for at in rng.sample(range(150), rng.randrange(1, 9)):
+            words[at] = f"e{i}x{at}"
+        texts[i] = " ".join(words)
+    found = dict(rows(near.groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")), "doc_id", "group_id"))
+    sets = {i: near.shingles(t, 5) for i, t in texts.items()}
+    keys = {i: near.bands(x) for i, x in sets.items()}
+    linked = 0
+    for i in texts:
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if (keys[i] == keys[j]).any() and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                linked += 1
+                assert found.get(i, i) == found.get(j, j)
+    assert linked > 1000

@@ -6,9 +6,9 @@ texts at similarity 0.8 differ in about ten of 64 fingerprint bits, and a coveri
 thousands of tables; README.md has the figures. Every candidate is settled by the exact Jaccard similarity of
 the documents' shingle sets.
 
-In a bucket each document is compared with one representative, the smallest id; those that are not similar to it
-go on to the next round in buckets that the next band's key divides further, until no bucket has two documents left. So the
-comparisons follow the documents, not the pairs, and no group is gathered. Links become components by star steps; the smallest id stays.
+In a bucket (a band's key, or fingerprints that the covering tables connect) each document is compared with the smallest id first.
+Then every pair that shares a bucket and is not connected yet is compared, in salted blocks (`weftline.operators.dedup.settled`), so
+all candidates of the stated similarity end in one group. Links become components by star steps; the smallest id stays.
 
 Defined cases: null, empty and blank texts have no shingles and are all kept; a text of fewer words than a shingle has
 its whole word sequence as one; rows with a null doc_id are kept; rows alike in doc_id are kept or dropped
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import simhash
 from weftline.llm.common import slices, written
+from weftline.operators.dedup import settled
 
 BANDS, ROWS = 20, 5
 #: Ids up to which dropped rows are found by broadcast (8 bytes each), by a shuffle beyond.
@@ -116,33 +117,20 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def links(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
-    """Links (a, b), a > b, between ids of documents whose similarity is at least `similarity`."""
+    """Links (a, b), a > b, between ids of documents whose similarity is at least `similarity`: enough of them that all candidate pairs of it are connected."""
     rows = written(_sketches(docs, size), "near-sketches")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "near-nodes")
-    by_bits = simhash.links(nodes, radius)
-    a, b = (nodes.select(F.col("fp").alias(c), F.col("first").alias(f"id_{c}")) for c in "ab")
-    ends = by_bits.join(a, "a").join(b, "b").select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b"))
-    alike = rows.join(nodes, "fp").where("doc_id > first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-
-    keyed = rows.select("doc_id", F.posexplode("keys").alias("band", "key"))
-    shared = written(keyed.groupBy("band", "key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi"), "near-buckets")
-    members = written(keyed.join(shared.select("band", "key"), ["band", "key"]).distinct(), "near-members")
-    ids = members.select(F.col("doc_id").alias("__id")).unionAll(ends.select("a")).unionAll(ends.select("b")).unionAll(alike.select("a")).unionAll(alike.select("b")).distinct()
-    sets = written(_sets(docs, written(ids, "near-ids"), size), "near-sets")
-    found = written(_similar(ends.unionAll(alike).where("a > b").distinct(), sets, similarity).where("same").select("a", "b"), "near-links")
-    depth = 0
-    while True:
-        least = written(members.groupBy("band", "key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("band", "key", "lo"), "near-heads")
-        pairs = written(members.join(least, ["band", "key"]).where("doc_id > lo").select("band", "key", "doc_id", "lo"), "near-pairs")
-        if not pairs.limit(1).count():
-            return found
-        checked = written(_similar(pairs.select(F.col("doc_id").alias("a"), F.col("lo").alias("b")).distinct(), sets, similarity), "near-checked")
-        found = written(found.unionAll(checked.where("same").select("a", "b")).distinct(), "near-links")
-        others = checked.where("not same").select(F.col("a").alias("doc_id"), F.col("b").alias("lo"))
-        rest = written(pairs.join(others, ["doc_id", "lo"], "left_semi").select("doc_id", "band", "key"), "near-rest")
-        depth += 1
-        finer = F.xxhash64("key", F.element_at("keys", F.pmod(F.col("band") + depth, F.lit(BANDS)) + 1))
-        members = written(rest.join(rows.select("doc_id", "keys"), "doc_id").select("doc_id", "band", finer.alias("key")).distinct(), "near-members")
+    nodes = written(rows.select("fp").distinct(), "near-nodes")
+    roots = simhash.components(simhash.links(nodes, radius))
+    by_bits = rows.join(roots, rows["fp"] == roots["node"], "left").select(F.xxhash64(F.lit(-1), F.coalesce("root", "fp")).alias("bucket"), "doc_id")
+    by_band = rows.select("doc_id", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "doc_id")
+    keyed = by_band.unionAll(by_bits)
+    heads = written(keyed.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("bucket", "lo"), "near-heads")
+    members = written(keyed.join(heads, "bucket").distinct(), "near-members")
+    ids = written(members.select(F.col("doc_id").alias("__id")).distinct(), "near-ids")
+    sets = written(_sets(docs, ids, size), "near-sets")
+    pairs = members.where("doc_id > lo").select(F.col("doc_id").alias("a"), F.col("lo").alias("b")).distinct()
+    found = written(_similar(pairs, sets, similarity).where("same").select("a", "b"), "near-links")
+    return settled(members.select("bucket", F.col("doc_id").alias("id")), sets.withColumnRenamed("shingles", "set"), found, similarity, simhash.components)
 
 
 def groups(docs: DataFrame, **options) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from weftline.plans.registry import op
 from weftline.plans.tables import written
 
 PRIME = 2**31 - 1
+#: Rows of a bucket that are compared with each other at a time.
+BLOCK = 128
 
 
 def char_shingles(c: Column, size: int = 5) -> Column:
@@ -30,6 +36,70 @@ def min_hashes(shingles: Column, permutations: int) -> Column:
     return F.transform(params, lambda p: F.array_min(F.transform(h, lambda x: F.pmod(x * p["a"] + p["b"], F.lit(PRIME)))))
 
 
+def _block(rows: pa.Table, threshold: float) -> tuple[list, list]:
+    """Positions of rows (root, set) of similarity threshold or more that link different roots, as few as connect them."""
+    sets = [x.values.to_numpy() for x in rows.column("set").combine_chunks()]
+    n, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
+    found, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, often = np.repeat(np.arange(n), sizes), counts[at] > 1
+    column = (np.cumsum(counts > 1) - 1)[at[often]]
+    owner, order = owner[often], np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((n, n))
+    for c in range(0, int((counts > 1).sum()), 8192):
+        lo, hi = np.searchsorted(column, (c, c + 8192))
+        held = np.zeros((n, 8192), np.float32)
+        held[owner[lo:hi], column[lo:hi] - c] = 1
+        both += held @ held.T
+    _, roots = np.unique(np.array(rows.column("root").to_pylist(), object), return_inverse=True)
+    x, y = np.nonzero(np.triu(both >= threshold * (sizes[:, None] + sizes[None, :] - both), 1) & (roots[:, None] != roots[None, :]))
+    a, b = [], []
+    for i, j in zip(x.tolist(), y.tolist(), strict=True):
+        if roots[i] != roots[j]:
+            a.append(i)
+            b.append(j)
+            roots[roots == roots[i]] = roots[j]
+    return a, b
+
+
+def settled(members: DataFrame, sets: DataFrame, links: DataFrame, threshold: float, components: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`links` (a, b), a > b, and enough more that all pairs of similarity threshold or more that share a bucket are connected.
+
+    members (bucket, id), sets (id, set of bigint). Pairs that the links connect already are left out; all others
+    that share a bucket are compared exactly, a bucket in salted blocks: rows of a component that fills half a block
+    lie in blocks of their own, which never meet each other, the rest of a bucket is dealt by a hash.
+    """
+    roots = components(links)
+    labelled = written(members.join(roots, members["id"] == roots["node"], "left").select("bucket", "id", F.coalesce("root", "id").alias("root")), "labelled")
+    # Buckets of the same rows are compared once; one of two rows is settled by the comparison with its smallest id.
+    name = lambda seed: F.bit_xor(F.xxhash64("id", F.lit(seed)))
+    seen = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), name(1).alias("x"), name(2).alias("y"))
+    mixed = seen.where("lo < hi and n > 2").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
+    rest = written(labelled.join(written(mixed, "mixed"), "bucket", "left_semi"), "mixed-rows")
+    if not rest.limit(1).count():
+        return links
+    parts = rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.when(F.col("n") >= BLOCK // 2, F.col("root")))
+    parts = written(parts, "parts")
+    counts = written(parts.groupBy("bucket", "part").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("pieces")), "pieces")
+    unit = lambda salt: F.xxhash64("bucket", F.coalesce(F.col("part").cast("string"), F.lit("")), F.col("part").isNull(), salt)
+    named = parts.join(counts, (parts["bucket"] == counts["bucket"]) & parts["part"].eqNullSafe(counts["part"])).select(parts["bucket"], "root", parts["part"], "pieces")
+    placed = rest.join(named, ["bucket", "root"]).select("id", "root", unit(F.pmod(F.xxhash64("id", F.lit(3)), F.col("pieces")).cast("int")).alias("unit"))
+    placed = written(placed, "placed")
+    units = written(counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("bucket", "part", unit(F.col("salt")).alias("unit")), "units")
+    other = units.select("bucket", F.col("part").alias("part_b"), F.col("unit").alias("unit_b"))
+    meet = units.join(other, "bucket").where("unit <= unit_b and (part is null or part_b is null or part <> part_b)").where("unit <> unit_b or part is null")
+    jobs = written(meet.select(F.xxhash64("unit", "unit_b").alias("job"), F.explode(F.array_distinct(F.array("unit", "unit_b"))).alias("unit")), "jobs")
+    kind = members.schema["id"].dataType.simpleString()
+
+    def compare(rows: pa.Table) -> pa.Table:
+        a, b = _block(rows, threshold)
+        return pa.table({"a": rows.column("id").take(pa.array(a, pa.int64())), "b": rows.column("id").take(pa.array(b, pa.int64()))})
+
+    shipped = jobs.join(placed, "unit").select("job", "id", "root").join(sets, "id").select("job", "id", "root", "set")
+    more = shipped.groupBy("job").applyInArrow(compare, f"a {kind}, b {kind}")
+    return links.unionAll(written(more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "more-links"))
+
+
 @op("minhash_groups")
 def minhash_groups(df: DataFrame, id_key: str, text: str = "text", size: int = 5, threshold: float = 0.5, permutations: int = 128, bands: int = 32) -> DataFrame:
     """(id, group): documents linked by a Jaccard similarity of at least threshold; the group is its smallest id.
