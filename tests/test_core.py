@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import io
 import json
+import random
 import tarfile
 import zipfile
 
@@ -162,6 +163,25 @@ def test_minhash_groups(spark):
     assert {r["root"] for r in dedup.connected(chain).collect()} == {0}
 
 
+def test_minhash_groups_of_a_family(spark):
+    """Every pair of edited copies at the threshold that shares a band is in one group, in buckets of several blocks."""
+    rng = random.Random(4)
+    base = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(160)]
+    texts = {}
+    for i in range(300):
+        chars = list(base)
+        for at in rng.sample(range(160), rng.randrange(1, 8)):
+            chars[at] = rng.choice("0123456789")
+        texts[i] = "".join(chars)
+    df = spark.createDataFrame(list(texts.items()), "id long, text string")
+    got = {r["id"]: r["group"] for r in dedup.minhash_groups(df, "id", threshold=0.8).collect()}
+    sets = {i: {t[k : k + 5] for k in range(len(t) - 4)} for i, t in texts.items()}
+    shingled = df.select("id", dedup.min_hashes(dedup.char_shingles(F.col("text")), 128).alias("m"))
+    minima = {r["id"]: [tuple(r["m"][k : k + 4]) for k in range(0, 128, 4)] for r in shingled.collect()}
+    linked = [(i, j) for i in texts for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and any(x == y for x, y in zip(minima[i], minima[j], strict=True))]
+    assert len(linked) > 1000 and all(got[i] == got[j] for i, j in linked)
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), (None, "a")], "t string, p string")
     m = metrics.classification_metrics(df, "t", "p").first()

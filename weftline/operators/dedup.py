@@ -104,33 +104,25 @@ def settled(members: DataFrame, sets: DataFrame, links: DataFrame, threshold: fl
 def minhash_groups(df: DataFrame, id_key: str, text: str = "text", size: int = 5, threshold: float = 0.5, permutations: int = 128, bands: int = 32) -> DataFrame:
     """(id, group): documents linked by a Jaccard similarity of at least threshold; the group is its smallest id.
 
-    Candidates share a band of minima and are compared exactly with the smallest id of their bucket; those that differ from it go on
-    in buckets that the next band divides further. Links settle by min-label steps over written tables.
+    Candidates share a band of minima. Each is compared with the smallest id of its bucket first; what that leaves unconnected in a
+    bucket is compared pair by pair. Links settle by min-label steps over written tables.
     """
     rows = df.where(F.col(text).isNotNull() & F.col(id_key).isNotNull()).select(F.col(id_key).alias("id"), char_shingles(F.col(text), size).alias("sh"))
     rows = written(rows, "shingles")
     per = permutations // bands
     hashed = rows.select("id", min_hashes(F.col("sh"), permutations).alias("m"))
-    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.slice("m", i * per + 1, F.lit(per))))
-    sketches = written(hashed.select("id", keys.alias("keys")), "sketches")
-    members, links, depth = written(sketches.select("id", F.posexplode("keys").alias("band", "key")), "bands"), None, 0
-    while True:
-        heads = written(members.groupBy("band", "key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band", "key", "lo"), "heads")
-        pairs = written(members.join(heads, ["band", "key"]).where("id > lo"), "pairs")
-        if not pairs.limit(1).count():
-            break
-        x, y = rows.select("id", F.col("sh").alias("x")), rows.select(F.col("id").alias("lo"), F.col("sh").alias("y"))
-        checked = written(pairs.select("id", "lo").distinct().join(x, "id").join(y, "lo").select("id", "lo", (jaccard(F.col("x"), F.col("y")) >= threshold).alias("same")), "checked")
-        found = checked.where("same").select(F.col("id").alias("a"), F.col("lo").alias("b"))
-        links = found if links is None else links.unionAll(found)
-        rest = pairs.join(checked.where("not same"), ["id", "lo"], "left_semi").select("id", "band", "key")
-        depth += 1
-        finer = F.xxhash64("key", F.element_at("keys", F.pmod(F.col("band") + depth, F.lit(bands)) + 1))
-        members = written(rest.join(sketches, "id").select("id", "band", finer.alias("key")), "rest")
+    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("m", i * per + 1, F.lit(per))))
+    members = written(hashed.select("id", F.explode(keys).alias("bucket")).distinct(), "bands")
+    heads = written(members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket", "lo"), "heads")
+    members = written(members.join(heads, "bucket"), "members")
+    pairs = written(members.where("id > lo").select("id", "lo").distinct(), "pairs")
+    x, y = rows.select("id", F.col("sh").alias("x")), rows.select(F.col("id").alias("lo"), F.col("sh").alias("y"))
+    checked = pairs.join(x, "id").join(y, "lo").where(jaccard(F.col("x"), F.col("y")) >= threshold)
+    links = written(checked.select(F.col("id").alias("a"), F.col("lo").alias("b")).distinct(), "links")
+    sets = rows.select("id", F.array_distinct(F.transform("sh", lambda s: F.xxhash64(s))).alias("set"))
+    links = settled(members.select("bucket", "id"), sets, links, threshold, connected)
+    labels = connected(links)
     ids = df.select(F.col(id_key).alias("id"))
-    if links is None:
-        return ids.select(F.col("id").alias(id_key), F.col("id").alias("group"))
-    labels = connected(written(links.distinct(), "links"))
     return ids.join(labels, ids["id"] == labels["node"], "left").select(F.col("id").alias(id_key), F.coalesce("root", "id").alias("group"))
 
 
