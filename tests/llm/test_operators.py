@@ -235,6 +235,19 @@ def test_language(spark, odd, empty):
     assert {r["lang_pred"] for r in language.identify(unlabelled).collect()} == {"und"}
 
 
+def test_language_of_long_runs(spark):
+    """Languages whose training runs all exceed 40 letters are learnt, and a run is scored to its end."""
+    rng = random.Random(6)
+    run = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    data = [(2 * i + k, run("あいうえお" if k else "กขคงจ", 60), "ja" if k else "th") for i in range(60) for k in (0, 1)]
+    model = language.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"), F.lit(True))
+    assert model["langs"] == ["ja", "th"] and all({x for k in model["grams"][n] for x in k} >= set("あกจ") for n in language.GRAMS)
+    docs = [(1, run("กขคงจ", 100)), (2, run("あいうえお", 100)), (3, run("あいうえお", 250) + run("กขคงจ", 900)), (4, run("กขคงจ", 250) + run("あいうえお", 900))]
+    found = dict(rows(language.predict(spark.createDataFrame(docs, "doc_id long, text string"), model), "doc_id", "lang_pred"))
+    assert found == {1: "th", 2: "ja", 3: "th", 4: "ja"}
+    assert language.Scorer(model).chunks([docs[2][1]])[1][0] == 115
+
+
 def test_pieces_round_trip(small, odd, empty):
     path = tokenizer_path("piece_bpe_32k.model")
     for df in (small, odd):

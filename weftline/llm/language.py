@@ -2,7 +2,8 @@
 
 A word that the training documents had is scored by its log frequency in each language. A word that they
 had not falls back to its padded character n-grams of length 4; where fewer than half of those are known,
-to length 3, then 2, then 1. A document's score adds its words'; the posterior is tempered by length.
+to length 3, then 2, then 1. A run of over LONG letters (a sentence without spaces) is scored by the n-grams of
+pieces of about PIECE letters, each of which counts as a word. A document's score adds its words'; the posterior is tempered by length.
 
 The counts come from Spark over at most `docs_per_lang` training documents of each language (a documented
 bound of the fit, dealt by a hash of the row key); the model keeps at most `max_words` words and
@@ -29,6 +30,8 @@ from weftline.llm.common import held_out, slices, written
 
 GRAMS = (4, 3, 2, 1)
 UND = "und"
+#: Letters of a run up to which it counts as one word, and of the pieces of a longer one.
+LONG, PIECE = 40, 10
 _LETTERS = regex.compile(r"\p{L}+")
 #: Words at which the evidence of a document counts in full; more do not make the posterior sharper.
 FULL_WORDS = 60
@@ -54,12 +57,16 @@ def fit(docs: DataFrame, train: Column, docs_per_lang: int = 1500, max_words: in
 
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals)
-    model = {"langs": langs, "words": _logs(top(counts, "word", max_words), "word", langs, totals), "grams": {}}
+    model = {"langs": langs, "words": _logs(top(counts.where(F.length("word") <= LONG), "word", max_words), "word", langs, totals), "grams": {}}
     padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
-    common = counts.where(F.length("word") <= 40)
+    # Runs of any length, in parts that are continued by the n - 1 letters after them, so that no n-gram is lost and substrings stay cheap.
+    part, after = (F.regexp_extract_all(padded, F.lit(p), F.lit(1)) for p in (r"(?s)(.{1,500})", r"(?s).{1,500}(?=(.{0,3}))"))
+    parts = counts.select("lang", "n", F.length(padded).alias("length"), F.explode(F.arrays_zip(part.alias("part"), after.alias("after"))).alias("x"))
     for n in GRAMS:
-        at = F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1)))
-        grams = common.select("lang", "n", F.explode(F.transform(at, lambda i: padded.substr(i, F.lit(n)))).alias("gram"))
+        piece = F.concat("x.part", F.substring("x.after", 1, n - 1))
+        at = F.sequence(F.lit(1), F.greatest(F.length(piece) - (n - 1), F.lit(1)))
+        grams = parts.select("lang", "n", "length", F.explode(F.transform(at, lambda i: piece.substr(i, F.lit(n)))).alias("gram"))
+        grams = grams.where((F.length("gram") == n) | (F.col("length") < n))
         found = top(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram", max_grams)
         sums = dict.fromkeys(langs, 0)
         for r in found:
@@ -98,26 +105,37 @@ class Scorer:
         found = self.words.get(w)
         if found is not None:
             return [found]
-        padded = f" {w[:200]} "
+        return self.piece(f" {w} ", 0, len(w) + 2)
+
+    def piece(self, padded: str, start: int, stop: int) -> list[int]:
+        """The rows of the longest n-grams beginning in padded[start:stop] that are known by half or more."""
         for n, table in self.grams:
-            grams = [padded[i : i + n] for i in range(max(1, len(padded) - n + 1))]
+            grams = [padded[i : i + n] for i in range(start, max(start + 1, min(stop, len(padded) - n + 1)))]
             hits = [v for v in map(table.get, grams) if v is not None]
             if hits and 2 * len(hits) >= len(grams):
                 return hits
         return [0]
 
     def chunks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Summed scores and numbers of the letter runs of pieces of lower-case text."""
+        """Summed scores and numbers of the words (letter runs, or pieces of long ones) of chunks of lower-case text."""
         rows: list[int] = []
         sizes: list[int] = []  # rows of each word
-        counts: list[int] = []  # words of each piece
+        counts: list[int] = []  # words of each chunk
         for t in texts:
             words = (t,) if t.isalpha() else _LETTERS.findall(t)
-            counts.append(len(words))
+            before = len(sizes)
             for w in words:
-                found = self.word(w)
-                rows += found
-                sizes.append(len(found))
+                if len(w) <= LONG:
+                    found = self.word(w)
+                    rows += found
+                    sizes.append(len(found))
+                    continue
+                padded, k = f" {w} ", len(w) // PIECE
+                for i in range(k):
+                    found = self.piece(padded, len(padded) * i // k, len(padded) * (i + 1) // k)
+                    rows += found
+                    sizes.append(len(found))
+            counts.append(len(sizes) - before)
         scores = np.zeros((len(texts), self.rows.shape[1]))
         if rows:
             n, k = np.array(sizes), np.array(counts)
