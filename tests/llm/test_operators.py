@@ -165,6 +165,14 @@ def test_copied_candidates_are_not_added(spark):
     assert {i: s for i, s in rows(secrets.scan(df), "doc_id", "spans") if s} == {9: "vendor:0:26"}
 
 
+def test_copied_within_one_owner_and_late_classes(spark):
+    """One owner's token in many repositories is an example; repeated rows are one repository; long runs are tested to their end."""
+    text, live, late = "see ghp_abcdefghij0123456789AB", "ghp_zzzzzzzzzz0123456789AB", "z" * 120 + "B1"
+    data = [(i, text, "s") for i in range(30)] + [(99, live, "s")] * 30 + [(100, late, "s")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    assert {i: s for i, s in rows(secrets.scan(df), "doc_id", "spans") if s} == {99: "vendor:0:26", 100: "mixed:0:122"}
+
+
 def test_simhash(small, odd, empty):
     for df in (small, unique(odd)):
         prints = {i: brute.fingerprint(t) for i, t in pairs(df)}

@@ -2,16 +2,17 @@
 
 Base spans are the matches of three fixed patterns. Further candidates (vendor-shaped tokens and long mixed
 strings) are added only where the corpus says they look live: the hash of every candidate value is aggregated
-by distinct repositories and owners, and a value of few owners is specific to them while one that many
-owners hold is a copied example. A document stands for a repository, its source for the owner.
+by distinct repositories and owners. A value is specific to its owners while few owners hold it, each in few
+repositories; one that many owners hold, or one owner in many repositories, is a copied example. A document
+stands for a repository, its source for the owner.
 
 Positions come from the text between matches: split and regexp_extract_all run over the same engine, so
-the lengths of their pieces alternate. Counting is by (value, owner), then by value, each combined before the
-shuffle, so a value in a third of all documents gathers in no task.
+the lengths of their pieces alternate. Counting is by (value, owner, repository), then by (value, owner), then
+by value, each combined before the shuffle, so a value in a third of all documents gathers in no task.
 
 Defined cases: null text counts as empty; a document without spans has zero counts, the hash of the empty
-string and empty spans; a null source is one owner; repeated rows are each scanned, and count once more as
-repositories; extra columns are ignored; long texts are scanned whole.
+string and empty spans; a null source is one owner, a null id one repository; repeated rows are each scanned, and
+count as one repository; extra columns are ignored; long texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 VENDOR = r"gh[opsru]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
-MIXED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,80}[0-9])(?=[A-Z0-9+/_-]{0,80}[a-z])(?=[a-z0-9+/_-]{0,80}[A-Z])[A-Za-z0-9+/_-]{32,}"
+MIXED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[A-Z0-9+/_-]*+[a-z])(?=[a-z0-9+/_-]*+[A-Z])[A-Za-z0-9+/_-]{32,}"
 
 #: Kinds in the order in which spans that start together are listed; (name, pattern, group of the value, least value characters).
 BASE = (("assign", ASSIGN, 1, 6), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 24))
@@ -57,8 +58,8 @@ def _listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", wide_owners: int = 3) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owner_specific (spans whose value fewer than wide_owners owners hold)."""
+def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", wide_owners: int = 3, wide_repositories: int = 20) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owner_specific (spans whose value fewer than wide_owners owners hold, each in fewer than wide_repositories)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.array_sort(F.concat(*[spans(text, *k, rank) for rank, k in enumerate(BASE)]))
     more = F.concat(*[spans(text, *k, rank + len(BASE)) for rank, k in enumerate(ADDED)])
@@ -70,9 +71,10 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", wid
     plain = (F.size("base") + F.size("more")) == 0
     values = F.array_distinct(F.transform(F.concat("base", "more"), lambda s: s["value"]))
     held = rows.where(~plain).select("row", "repository", "owner", F.explode(values).alias("value"))
-    by_owner = held.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repositories"))
-    owned = written(by_owner.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories")), "secret-owners")
-    specific = held.select("row", "value").join(owned.where(F.col("owners") < wide_owners).select("value"), "value")
+    by_owner = held.select("value", "owner", "repository").distinct().groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repositories"))
+    owned = written(by_owner.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.max("repositories").alias("repositories")), "secret-owners")
+    few = owned.where((F.col("owners") < wide_owners) & (F.col("repositories") < wide_repositories))
+    specific = held.select("row", "value").join(few.select("value"), "value")
     live = written(specific.groupBy("row").agg(F.collect_set("value").alias("live")), "secret-live")
 
     with_spans = rows.where(~plain).join(live, "row", "left").withColumn("live", F.coalesce("live", F.array().cast("array<string>")))
