@@ -36,6 +36,8 @@ MARK = "▁"
 _LITERAL = 0xD800
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD1342543DE82EF95)
+#: Bits of a key that say whether a piece may have it, before the keys themselves are searched.
+_FILTER = 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -84,16 +86,18 @@ class Sampler:
         keys = np.array([int((_scattered(c) * up[: len(c)]).sum(dtype=np.uint64)) for c in codes], np.uint64)
         lengths = np.array([len(c) for c in codes])
         self.by_length = {}
-        for n in np.unique(lengths):
+        for n in np.unique(lengths)[::-1]:
             at = np.flatnonzero(lengths == n)
             at = at[np.argsort(keys[at])]
-            self.by_length[int(n)] = (keys[at], at)
+            likely = np.zeros(1 << _FILTER, bool)
+            likely[keys[at] >> np.uint64(64 - _FILTER)] = True
+            self.by_length[int(n)] = (keys[at], at, likely)
         self.weights = np.array(vocabulary["weights"], np.float64) * (1.0 if np.isinf(alpha) else alpha)
         self.least = self.weights.min(initial=0.0) - 5.0
         self.ids = np.array(vocabulary["ids"], np.int32)
 
     def lattice(self, words: list[str]) -> tuple:
-        """Edges of all words' lattices, sorted by end node: (end, start, piece or -1, cumulative posterior), and each word's first and last node."""
+        """Edges of all words' lattices, sorted by end node, long pieces first: (end, start, piece or -1, cumulative posterior in units of 2^-32, code), and each word's first and last node."""
         joined = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         stops = np.cumsum(sizes)
@@ -101,52 +105,63 @@ class Sampler:
         last = first + sizes
         node = np.arange(len(joined)) + np.repeat(np.arange(len(words)), sizes)
         room = np.repeat(stops, sizes) - np.arange(len(joined))
-        inside = np.arange(len(joined)) - np.repeat(stops - sizes, sizes)
         up, down = _powers(len(joined))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_scattered(joined) * up)])
-        starts, ends, piece, depth = [], [], [], []
+        starts, ends, piece = [], [], []
         single = np.zeros(len(joined), bool)
-        for n, (keys, at) in self.by_length.items():
-            where = np.flatnonzero(room >= n)
-            key = (sums[where + n] - sums[where]) * down[where]
+        for n, (keys, at, likely) in self.by_length.items():
+            m = max(0, len(joined) - n + 1)
+            key = (sums[n:] - sums[:m]) * down[:m]
+            where = np.flatnonzero(likely[key >> np.uint64(64 - _FILTER)] & (room[:m] >= n))
+            key = key[where]
             hit = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             ok = keys[hit] == key
             where = where[ok]
             if n == 1:
                 single[where] = True
             starts.append(node[where])
-            ends.append(node[where] + n)
+            ends.append(starts[-1] + n)
             piece.append(at[hit[ok]])
-            depth.append(inside[where] + n)
         odd = np.flatnonzero(~single)
-        starts, ends = np.concatenate([*starts, node[odd]]), np.concatenate([*ends, node[odd] + 1])
-        piece, depth = np.concatenate([*piece, np.full(len(odd), -1)]), np.concatenate([*depth, inside[odd] + 1])
+        starts, ends, piece = np.concatenate([*starts, node[odd]]), np.concatenate([*ends, node[odd] + 1]), np.concatenate([*piece, np.full(len(odd), -1)])
         code = np.zeros(len(starts), np.uint32)
         code[len(starts) - len(odd) :] = joined[odd]
-        order = np.lexsort((piece, starts, ends, depth))
-        starts, ends, piece, depth, code = (x[order] for x in (starts, ends, piece, depth, code))
+        order = np.argsort(ends, kind="stable")  # a merge of one run for each length
+        starts, ends, piece, code = (x[order] for x in (starts, ends, piece, code))
+        cut = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]])) if len(ends) else np.zeros(0, int)
+        p = self._posterior(starts, ends, piece, cut, first, last)
+        degree = np.diff(np.append(cut, len(ends)))
+        for rank in range(1, int(degree.max(initial=1))):
+            at = cut[degree > rank] + rank
+            p[at] += p[at - 1]
+        return starts, ends, piece, np.minimum(p * 2.0**32, 2.0**32).astype(np.int64), code, first, last
+
+    def _posterior(self, starts: np.ndarray, ends: np.ndarray, piece: np.ndarray, cut: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Forward filtering: the share of each edge among the weights of all paths into its end node; nodes of one depth at a time."""
         weight = np.where(piece >= 0, self.weights[piece], self.least)
-        log = np.full(int(last[-1]) + 1 if len(words) else 1, -np.inf)
+        log = np.full(int(last[-1]) + 1 if len(last) else 1, -np.inf)
         log[first] = 0.0
-        value = np.empty(len(starts))
-        new_depth = np.flatnonzero(np.concatenate([[True], depth[1:] != depth[:-1]])) if len(depth) else np.zeros(0, int)
-        for a, b in zip(new_depth, np.append(new_depth[1:], len(depth)), strict=True):
+        depth = np.arange(len(log)) - np.repeat(first, last - first + 1)
+        deep = depth[ends[cut]]
+        order = np.argsort(deep.astype(np.uint16) if deep.max(initial=0) < 1 << 16 else deep, kind="stable")
+        size = np.diff(np.append(cut, len(ends)))[order]
+        stop = np.cumsum(size)
+        edge = np.arange(int(stop[-1]) if len(stop) else 0) - np.repeat(stop - size, size) + np.repeat(cut[order], size)
+        starts, weight, group = starts[edge], weight[edge], stop - size  # edges by depth of their end, each node's together
+        value = np.empty(len(edge))
+        bounds = np.flatnonzero(np.concatenate([[True], np.diff(deep[order]) != 0, [True]])) if len(order) else np.zeros(1, int)
+        goal = ends[cut][order]
+        for g, h in zip(bounds[:-1], bounds[1:], strict=True):
+            a, b = group[g], stop[h - 1]
             v = log[starts[a:b]] + weight[a:b]
             value[a:b] = v
-            e = ends[a:b]
-            cut = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
-            top = np.maximum.reduceat(v, cut)
-            if np.isinf(self.alpha):
-                log[e[cut]] = top
-            else:
-                log[e[cut]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, np.diff(np.append(cut, len(e))))), cut))
-        p = (value >= log[ends]).astype(float) if np.isinf(self.alpha) else np.exp(value - log[ends])
-        order = np.lexsort((np.arange(len(ends)), ends))
-        starts, ends, piece, p, code = (x[order] for x in (starts, ends, piece, p, code))
-        total = np.cumsum(p)
-        cut = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]])) if len(ends) else np.zeros(0, int)
-        before = np.repeat(total[cut] - p[cut], np.diff(np.append(cut, len(ends))))
-        return starts, ends, piece, np.minimum(total - before, 1.0), code, first, last
+            at = group[g:h] - a
+            top = np.maximum.reduceat(v, at)
+            log[goal[g:h]] = top if np.isinf(self.alpha) else top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, size[g:h])), at))
+        total = np.repeat(log[goal], size)
+        p = np.empty(len(edge))
+        p[edge] = (value >= total).astype(float) if np.isinf(self.alpha) else np.exp(value - total)
+        return p
 
     def texts(self, texts: list[str | None], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """All piece ids end to end, and where each text's end; keys are the rows' 64-bit keys."""
@@ -164,7 +179,6 @@ class Sampler:
         if not words or not len(codes):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         starts, ends, piece, share, code, first, last = self.lattice(words)
-        key = ends + share
         begin = np.searchsorted(ends, np.arange(int(last[-1]) + 2))
         row = np.repeat(np.arange(len(texts)), counts)
         inside = np.arange(len(codes)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -173,8 +187,13 @@ class Sampler:
         steps: list[tuple[np.ndarray, np.ndarray]] = []
         while len(who):
             stream = stream + _GOLDEN
-            u = (_mix(stream) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = np.clip(np.searchsorted(key, at + u, side="right"), begin[at], begin[at + 1] - 1)
+            drawn = (_mix(stream) >> np.uint64(32)).astype(np.int64)
+            low, top = begin[at], begin[at + 1] - 1
+            edge, open_ = low, np.flatnonzero(low < top)
+            while len(open_):  # long pieces come first, so that few edges are looked at
+                open_ = open_[share[edge[open_]] <= drawn[open_]]
+                edge[open_] += 1
+                open_ = open_[edge[open_] < top[open_]]
             steps.append((who, edge))
             at = starts[edge]
             more = at > goal
