@@ -164,7 +164,7 @@ def test_minhash_groups(spark):
 
 
 def test_minhash_groups_of_a_family(spark):
-    """Every pair of edited copies at the threshold that shares a band is in one group, in buckets of several blocks."""
+    """Groups of edited copies equal those of all pairs at the threshold, in buckets of several blocks."""
     rng = random.Random(4)
     base = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(160)]
     texts = {}
@@ -176,10 +176,23 @@ def test_minhash_groups_of_a_family(spark):
     df = spark.createDataFrame(list(texts.items()), "id long, text string")
     got = {r["id"]: r["group"] for r in dedup.minhash_groups(df, "id", threshold=0.8).collect()}
     sets = {i: {t[k : k + 5] for k in range(len(t) - 4)} for i, t in texts.items()}
-    shingled = df.select("id", dedup.min_hashes(dedup.char_shingles(F.col("text")), 128).alias("m"))
-    minima = {r["id"]: [tuple(r["m"][k : k + 4]) for k in range(0, 128, 4)] for r in shingled.collect()}
-    linked = [(i, j) for i in texts for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and any(x == y for x, y in zip(minima[i], minima[j], strict=True))]
-    assert len(linked) > 1000 and all(got[i] == got[j] for i, j in linked)
+    root = {i: i for i in texts}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    linked = [(i, j) for i in texts for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for i, j in linked:
+        p, q = sorted((find(i), find(j)))
+        root[q] = p
+    assert len(linked) > 1000 and got == {i: find(i) for i in texts}
+
+
+def test_banding():
+    for threshold in (0.3, 0.5, 0.8, 0.95):
+        bands, rows = dedup.banding(threshold, 128)
+        assert 1 - (1 - threshold**rows) ** bands >= 0.99 and bands * rows <= 128
+    assert dedup.char_hashes("", 5).tolist() != dedup.char_hashes("a", 5).tolist() and len(dedup.char_hashes("abcdabcda", 5)) == 4
 
 
 def test_metrics(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from weftline.plans.registry import op
 from weftline.plans.tables import written
 
-PRIME = 2**31 - 1
-#: Rows of a bucket that are compared with each other at a time.
-BLOCK = 128
+#: Rows of a bucket that are compared with each other at a time, and members of a set that weigh as much as a row.
+BLOCK, HEAVY = 128, 4096
 
 
 def char_shingles(c: Column, size: int = 5) -> Column:
@@ -28,12 +27,42 @@ def jaccard(a: Column, b: Column) -> Column:
     return both / F.nullif(F.size(a) + F.size(b) - both, F.lit(0))
 
 
-def min_hashes(shingles: Column, permutations: int) -> Column:
-    """`permutations` minima of (a h + b) mod PRIME, with fixed a and b."""
-    h = F.transform(shingles, lambda s: F.pmod(F.xxhash64(s), F.lit(PRIME)))
-    coefficients = [((48271 ** (2 * i + 1)) % PRIME, (69621 ** (2 * i + 2)) % PRIME) for i in range(permutations)]
-    params = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in coefficients])
-    return F.transform(params, lambda p: F.array_min(F.transform(h, lambda x: F.pmod(x * p["a"] + p["b"], F.lit(PRIME)))))
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def char_hashes(text: str, size: int) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's runs of `size` characters, ascending; a shorter text is its own run."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = min(size, len(codes))
+    found = np.full(max(1, len(codes) - n + 1), n, np.uint64)
+    for i in range(n):
+        found = _mix((found ^ codes[i : i + len(found)]) + np.uint64(0x9E3779B97F4A7C15))
+    return np.unique(found)
+
+
+def band_keys(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A key for each band of `rows` minimum hashes over a set of 64-bit hashes."""
+    factors = np.random.Generator(np.random.PCG64(3)).integers(0, 2**64, bands * rows, dtype=np.uint64) | np.uint64(1)
+    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(found), 4096):
+        x = found[i : i + 4096, None] * factors[None, :]
+        least = np.minimum(least, (x ^ (x >> np.uint64(29))).min(axis=0))
+    keys = np.zeros(bands, np.uint64)
+    for r in range(rows):
+        keys = (keys ^ least[r::rows]) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(31)
+    return keys
+
+
+def banding(threshold: float, permutations: int, recall: float = 0.99) -> tuple[int, int]:
+    """(bands, rows): the most rows at which a pair at the threshold shares a band with probability `recall` or more."""
+    for rows in range(permutations, 1, -1):
+        if 1 - (1 - threshold**rows) ** (permutations // rows) >= recall:
+            return permutations // rows, rows
+    return permutations, 1
 
 
 def _block(rows: pa.Table, threshold: float) -> tuple[list, list]:
@@ -66,7 +95,7 @@ def settled(members: DataFrame, sets: DataFrame, links: DataFrame, threshold: fl
     """`links` (a, b), a > b, and enough more that all pairs of similarity threshold or more that share a bucket are connected.
 
     members (bucket, id), sets (id, set of bigint). Pairs that the links connect already are left out; all others
-    that share a bucket are compared exactly, a bucket in salted blocks: rows of a component that fills half a block
+    that share a bucket are compared exactly, a bucket in salted blocks of bounded size (rows with large sets weigh more): rows of a component that fills half a block
     lie in blocks of their own, which never meet each other, the rest of a bucket is dealt by a hash.
     """
     roots = components(links)
@@ -75,10 +104,11 @@ def settled(members: DataFrame, sets: DataFrame, links: DataFrame, threshold: fl
     name = lambda seed: F.bit_xor(F.xxhash64("id", F.lit(seed)))
     seen = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), name(1).alias("x"), name(2).alias("y"))
     mixed = seen.where("lo < hi and n > 2").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
-    rest = written(labelled.join(written(mixed, "mixed"), "bucket", "left_semi"), "mixed-rows")
+    weights = sets.select("id", F.ceil(F.size("set") / HEAVY).alias("weight"))
+    rest = written(labelled.join(written(mixed, "mixed"), "bucket", "left_semi").join(weights, "id"), "mixed-rows")
     if not rest.limit(1).count():
         return links
-    parts = rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.when(F.col("n") >= BLOCK // 2, F.col("root")))
+    parts = rest.groupBy("bucket", "root").agg(F.sum("weight").alias("n")).withColumn("part", F.when(F.col("n") >= BLOCK // 2, F.col("root")))
     parts = written(parts, "parts")
     counts = written(parts.groupBy("bucket", "part").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("pieces")), "pieces")
     unit = lambda salt: F.xxhash64("bucket", F.coalesce(F.col("part").cast("string"), F.lit("")), F.col("part").isNull(), salt)
@@ -100,26 +130,42 @@ def settled(members: DataFrame, sets: DataFrame, links: DataFrame, threshold: fl
     return links.unionAll(written(more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "more-links"))
 
 
+def _char_sketches(df: DataFrame, id_key: str, text: str, size: int, bands: int, rows: int) -> DataFrame:
+    """(id, set, keys) of every row with an id and a text: its runs of characters as hashes, and its bands' keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                sets = [char_hashes(t, size) for t in part.column("text").to_pylist()]
+                keys = [band_keys(x, bands, rows).view(np.int64) for x in sets]
+                kind = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([x.view(np.int64) for x in sets], kind), pa.array(keys, kind)], names=["id", "set", "keys"])
+
+    kind = df.schema[id_key].dataType.simpleString()
+    return df.where(F.col(text).isNotNull() & F.col(id_key).isNotNull()).select(F.col(id_key).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, set array<bigint>, keys array<bigint>")
+
+
 @op("minhash_groups")
-def minhash_groups(df: DataFrame, id_key: str, text: str = "text", size: int = 5, threshold: float = 0.5, permutations: int = 128, bands: int = 32) -> DataFrame:
-    """(id, group): documents linked by a Jaccard similarity of at least threshold; the group is its smallest id.
+def minhash_groups(df: DataFrame, id_key: str, text: str = "text", size: int = 5, threshold: float = 0.5, permutations: int = 128, bands: int | None = None) -> DataFrame:
+    """(id, group) of every row: documents linked by a Jaccard similarity of at least threshold in runs of `size` characters; the group is its smallest id.
 
-    Candidates share a band of minima. Each is compared with the smallest id of its bucket first; what that leaves unconnected in a
-    bucket is compared pair by pair. Links settle by min-label steps over written tables.
+    Candidates share a band of minima (by default as many rows to a band as keep a pair at the threshold with 99 %). Each is compared with the
+    smallest id of its bucket first; what that leaves unconnected in a bucket is compared pair by pair. Links settle by min-label steps over
+    written tables. A null text or id is in no group but its own; empty texts are alike; rows alike in id are one document.
     """
-    rows = df.where(F.col(text).isNotNull() & F.col(id_key).isNotNull()).select(F.col(id_key).alias("id"), char_shingles(F.col(text), size).alias("sh"))
-    rows = written(rows, "shingles")
-    per = permutations // bands
-    hashed = rows.select("id", min_hashes(F.col("sh"), permutations).alias("m"))
-    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("m", i * per + 1, F.lit(per))))
-    members = written(hashed.select("id", F.explode(keys).alias("bucket")).distinct(), "bands")
+    count, per = (bands, permutations // bands) if bands else banding(threshold, permutations)
+    rows = written(_char_sketches(df, id_key, text, size, count, per), "shingles")
+    members = written(rows.select("id", F.posexplode("keys").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("bucket")).distinct(), "bands")
     heads = written(members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket", "lo"), "heads")
     members = written(members.join(heads, "bucket"), "members")
     pairs = written(members.where("id > lo").select("id", "lo").distinct(), "pairs")
-    x, y = rows.select("id", F.col("sh").alias("x")), rows.select(F.col("id").alias("lo"), F.col("sh").alias("y"))
-    checked = pairs.join(x, "id").join(y, "lo").where(jaccard(F.col("x"), F.col("y")) >= threshold)
+    named = rows.join(members.select("id").distinct(), "id", "left_semi")
+    sets = written(named.select("id", "set"), "sets")
+    x, y = sets.select("id", F.col("set").alias("x")), sets.select(F.col("id").alias("lo"), F.col("set").alias("y"))
+    fits = F.least(F.size("x"), F.size("y")) >= threshold * F.greatest(F.size("x"), F.size("y"))
+    checked = pairs.join(x, "id").join(y, "lo").where(F.when(fits, jaccard(F.col("x"), F.col("y")) >= threshold).otherwise(False))
     links = written(checked.select(F.col("id").alias("a"), F.col("lo").alias("b")).distinct(), "links")
-    sets = rows.select("id", F.array_distinct(F.transform("sh", lambda s: F.xxhash64(s))).alias("set"))
     links = settled(members.select("bucket", "id"), sets, links, threshold, connected)
     labels = connected(links)
     ids = df.select(F.col(id_key).alias("id"))

@@ -382,7 +382,7 @@ def _tokens(spark, d):
 
 _COUNTS = f"""w AS (SELECT {_WORDS} AS t FROM documents), g AS (SELECT unnest(list_transform(range(1, len(t) + 1), lambda i: t[i])) AS words, 1 AS length FROM w
     UNION ALL SELECT unnest(list_transform(range(1, len(t)), lambda i: t[i] || ';' || t[i+1])), 2 FROM w),
-    c AS (SELECT words, length, count(*) AS frequency FROM g GROUP BY words, length HAVING count(*) >= 5)"""
+    c AS MATERIALIZED (SELECT words, length, count(*) AS frequency FROM g GROUP BY words, length HAVING count(*) >= 5)"""
 
 
 @query("n12_ngram_counts", f"WITH {_COUNTS} SELECT words, length, frequency FROM c")
@@ -396,10 +396,9 @@ def n13(spark, d):
     return ngrams.pmi_scores(ngrams.ngram_counts(_tokens(spark, d), "tokens", 2, 5)).withColumn("score", _r(F.col("score")))
 
 
-@query("n14_cohesion", f"""WITH {_COUNTS} SELECT g.words, round(g.frequency / a.frequency, 6) AS cohesion_forward, round(g.frequency / b.frequency, 6) AS cohesion_backward FROM c g LEFT JOIN c a ON a.words = str_split(g.words, ';')[1] LEFT JOIN c b ON b.words = str_split(g.words, ';')[2] WHERE g.length = 2""")
+@query("n14_cohesion", f"""WITH {_COUNTS} SELECT g.words, g.frequency / a.frequency AS cohesion_forward, g.frequency / b.frequency AS cohesion_backward FROM c g LEFT JOIN c a ON a.words = str_split(g.words, ';')[1] LEFT JOIN c b ON b.words = str_split(g.words, ';')[2] WHERE g.length = 2""")
 def n14(spark, d):
-    out = ngrams.cohesion_scores(ngrams.ngram_counts(_tokens(spark, d), "tokens", 2, 5))
-    return out.select("words", _r(F.col("cohesion_forward")).alias("cohesion_forward"), _r(F.col("cohesion_backward")).alias("cohesion_backward"))
+    return ngrams.cohesion_scores(ngrams.ngram_counts(_tokens(spark, d), "tokens", 2, 5)).select("words", "cohesion_forward", "cohesion_backward")
 
 
 @query("n15_branching_entropy", f"""WITH {_COUNTS}, r AS (SELECT str_split(words, ';')[1] AS words, sum(frequency) AS s, sum(frequency * ln(frequency)) AS e FROM c WHERE length = 2 GROUP BY 1),
@@ -437,7 +436,16 @@ def e07(spark, d):
     return sentiment.aggregate_scores(df, "event_type", "s").select("event_type", "num_examples", "num_positive", "num_negative")
 
 
-@query("d01_minhash_groups", None)
+@query("d01_minhash_groups", """
+    WITH RECURSIVE s AS MATERIALIZED (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(length(text) - 4, 1) + 1), lambda i: substr(text, i, 5)))) AS g FROM documents WHERE text IS NOT NULL),
+    f AS (SELECT g, count(*) AS df FROM s GROUP BY g),
+    r AS (SELECT doc_id, s.g, row_number() OVER (PARTITION BY doc_id ORDER BY df, s.g) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM s JOIN f USING (g)),
+    p AS MATERIALIZED (SELECT * FROM r WHERE k <= n - ceil(0.8 * n) + 1),
+    c AS MATERIALIZED (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS n, b.n AS m FROM p a JOIN p b ON a.g = b.g AND a.doc_id > b.doc_id WHERE least(a.n, b.n) >= 0.8 * greatest(a.n, b.n)),
+    j AS MATERIALIZED (SELECT c.a, c.b FROM c JOIN s x ON x.doc_id = c.a JOIN s y ON y.doc_id = c.b AND y.g = x.g GROUP BY c.a, c.b, c.n, c.m HAVING count(*) >= 0.8 * (c.n + c.m - count(*))),
+    e AS MATERIALIZED (SELECT a, b FROM j UNION ALL SELECT b, a FROM j),
+    w(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.a, w.root FROM w JOIN e ON e.b = w.doc_id)
+    SELECT doc_id, min(root) AS "group" FROM w GROUP BY doc_id""")
 def d01(spark, d):
     return dedup.minhash_groups(table(spark, d, "documents"), "doc_id", threshold=0.8)
 
