@@ -1,44 +1,20 @@
-"""What the operators share: the shared folder, materialised tables, Arrow batches of bounded bytes."""
+"""What the operators share: written tables, the fold of a row, Arrow batches of bounded bytes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weftline.plans.tables import new_path, scope, shared_dir, written  # noqa: F401
+
 #: A word is a run of anything but ASCII white space, in texts and in UTF-8 bytes alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="weftline-")
-    return _OWN[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/weftline/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, survives lost executors and keeps repeated use from recomputing."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
 
 def remainder(doc_id: Column | str) -> Column:
     """crc32(doc_id as text) mod 3; a null id counts as the empty text."""

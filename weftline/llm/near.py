@@ -21,44 +21,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import simhash
 from weftline.llm.common import slices, written
-from weftline.operators.dedup import settled
+from weftline.operators.dedup import band_keys, settled
 
 BANDS, ROWS = 20, 5
 #: Ids up to which dropped rows are found by broadcast (8 bytes each), by a shuffle beyond.
 BROADCAST = 1_000_000
-_FACTORS = np.random.Generator(np.random.PCG64(3)).integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
     """Distinct XXH64 hashes of a text's word shingles, ascending; A-Z lower-cased."""
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    stops = ends[min(size, len(words)) - 1 :].tolist()
-    h = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((h(joined[s:e], 42) for s, e in zip((ends - lengths).tolist(), stops, strict=False)), np.uint64, len(stops)))
+    return np.unique(simhash.hashes(text, size))
 
 
 def bands(found: np.ndarray) -> np.ndarray:
     """A key for each band of minimum hashes."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(found), 4096):
-        x = found[i : i + 4096, None] * _FACTORS[None, :]
-        least = np.minimum(least, (x ^ (x >> np.uint64(29))).min(axis=0))
-    keys = np.zeros(BANDS, np.uint64)
-    for r in range(ROWS):
-        keys = (keys ^ least[r::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(31)
-    return keys
+    return band_keys(found, BANDS, ROWS)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -72,10 +54,10 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
         for batch in slices(batches, "text"):
             ids, fps, keys = [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found = shingles(text, size)
+                found = simhash.hashes(text, size)
                 if len(found):
                     ids.append(doc_id)
-                    fps.append(simhash.fingerprint(text, size))
+                    fps.append(simhash.majority(found))
                     keys.append(_signed(bands(found)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column("doc_id").type), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "keys"])
 
@@ -98,22 +80,14 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """pairs (a, b) with whether their Jaccard similarity is at least `similarity`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = []
-            for i in range(batch.num_rows):
-                x, y = (batch.column(c)[i].values.to_numpy() for c in ("x", "y"))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                same.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same, pa.bool_())], names=["a", "b", "same"])
-
-    kind = pairs.schema["a"].dataType.simpleString()
+    """The pairs (a, b) whose Jaccard similarity is at least `similarity`; a row at a time in the JVM, so long documents do not gather in batches."""
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    checked = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}, same boolean")
-    return checked.groupBy("a", "b").agg(F.max("same").alias("same"))
+    # Sets of sizes that rule the similarity out are not intersected.
+    fits = F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    enough = F.when(fits, both >= similarity * (F.size("x") + F.size("y") - both)).otherwise(False)
+    return pairs.join(one, "a").join(two, "b").where(enough).select("a", "b").distinct()
 
 
 def links(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
@@ -129,7 +103,7 @@ def links(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int =
     ids = written(members.select(F.col("doc_id").alias("__id")).distinct(), "near-ids")
     sets = written(_sets(docs, ids, size), "near-sets")
     pairs = members.where("doc_id > lo").select(F.col("doc_id").alias("a"), F.col("lo").alias("b")).distinct()
-    found = written(_similar(pairs, sets, similarity).where("same").select("a", "b"), "near-links")
+    found = written(_similar(pairs, sets, similarity), "near-links")
     return settled(members.select("bucket", F.col("doc_id").alias("id")), sets.withColumnRenamed("shingles", "set"), found, similarity, simhash.components)
 
 

@@ -33,24 +33,31 @@ from weftline.llm.common import slices, written
 BITS = 64
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """64-bit majority of the shingles' hashes; repeats count."""
+def hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each word shingle, repeats included; A-Z lower-cased; a text of fewer words has its whole sequence as one."""
     words = text.encode().lower().split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
-    n = max(1, len(words) - shingle + 1)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths).tolist()
-    stops = ends.tolist()[min(shingle, len(words)) - 1 :]
+    stops = ends[min(shingle, len(words)) - 1 :].tolist()
     h = xxhash.xxh64_intdigest
-    hashes = np.fromiter((h(joined[s:e], 42) for s, e in zip(starts, stops, strict=False)), np.uint64, n)
+    return np.fromiter((h(joined[s:e], 42) for s, e in zip((ends - lengths).tolist(), stops, strict=False)), np.uint64, len(stops))
+
+
+def majority(found: np.ndarray) -> int:
+    """The word whose bits are set in over half of the hashes; zero of none."""
     counts = np.zeros(BITS, np.int64)
-    for i in range(0, n, 1 << 16):
-        part = hashes[i : i + (1 << 16)]
+    for i in range(0, len(found), 1 << 16):
+        part = found[i : i + (1 << 16)]
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * counts > len(found), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """64-bit majority of the shingles' hashes; repeats count."""
+    return majority(hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -93,7 +100,9 @@ def _forest(nodes: np.ndarray, radius: int) -> tuple[list, list]:
 def links(nodes: DataFrame, radius: int = 4, listed: int = 4096) -> DataFrame:
     """Links (a, b), a > b, between distinct fingerprints `fp`: enough of them that all pairs within radius are connected."""
     tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks(radius))])
-    keyed = nodes.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.key")
+    # Each node makes a row for every table, so nodes are spread over all tasks first.
+    spread = nodes.select("fp").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    keyed = spread.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.key")
     buckets = written(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1"), "simhash-buckets")
     twos = buckets.where((F.col("n") == 2) & (F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= radius)).select(F.col("hi").alias("a"), F.col("lo").alias("b"))
 
