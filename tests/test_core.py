@@ -191,7 +191,7 @@ def test_minhash_groups_of_a_family(spark):
 def test_banding():
     for threshold in (0.3, 0.5, 0.8, 0.95):
         bands, rows = dedup.banding(threshold, 128)
-        assert 1 - (1 - threshold**rows) ** bands >= 0.99 and bands * rows <= 128
+        assert 1 - (1 - threshold**rows) ** bands >= 0.999 and bands * rows <= 128
     assert dedup.char_hashes("", 5).tolist() != dedup.char_hashes("a", 5).tolist() and len(dedup.char_hashes("abcdabcda", 5)) == 4
 
 

@@ -57,7 +57,7 @@ def band_keys(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
-def banding(threshold: float, permutations: int, recall: float = 0.99) -> tuple[int, int]:
+def banding(threshold: float, permutations: int, recall: float = 0.999) -> tuple[int, int]:
     """(bands, rows): the most rows at which a pair at the threshold shares a band with probability `recall` or more."""
     for rows in range(permutations, 1, -1):
         if 1 - (1 - threshold**rows) ** (permutations // rows) >= recall:
@@ -150,7 +150,7 @@ def _char_sketches(df: DataFrame, id_key: str, text: str, size: int, bands: int,
 def minhash_groups(df: DataFrame, id_key: str, text: str = "text", size: int = 5, threshold: float = 0.5, permutations: int = 128, bands: int | None = None) -> DataFrame:
     """(id, group) of every row: documents linked by a Jaccard similarity of at least threshold in runs of `size` characters; the group is its smallest id.
 
-    Candidates share a band of minima (by default as many rows to a band as keep a pair at the threshold with 99 %). Each is compared with the
+    Candidates share a band of minima (by default as many rows to a band as keep a pair at the threshold with 99.9 %). Each is compared with the
     smallest id of its bucket first; what that leaves unconnected in a bucket is compared pair by pair. Links settle by min-label steps over
     written tables. A null text or id is in no group but its own; empty texts are alike; rows alike in id are one document.
     """
