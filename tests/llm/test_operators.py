@@ -115,11 +115,33 @@ def test_substrings_by_shuffle(odd, monkeypatch):
     assert set(rows(substrings.dedup(df), "doc_id", "n_words", "n_removed", "kept_sha256")) == brute.substrings(pairs(df))
 
 
-def test_long_words_are_hashed_in_pieces(monkeypatch):
-    text = ("word " * 50 + "x" * 300 + " ").encode() * 5
-    whole = substrings.words(text)
-    monkeypatch.setattr(substrings, "_PIECE", 64)
-    assert all((a == b).all() for a, b in zip(whole, substrings.words(text), strict=True))
+def test_words_and_orders_built_to_collide(spark):
+    """Thue-Morse words, and Thue-Morse orders of two words, have equal hashes where hashes are sums of powers."""
+
+    def morse(n, one, two):
+        return [two if k.bit_count() & 1 else one for k in range(n)]
+
+    head = [f"w{i}" for i in range(49)]
+    docs = [(1, " ".join([*head, "".join(morse(1024, "a", "b"))])), (2, " ".join([*head, "".join(morse(1024, "b", "a"))])), (3, " ".join(morse(4096, "x", "y"))), (4, " ".join(morse(4096, "y", "x")))]
+    found = substrings.dedup(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert set(rows(found, "doc_id", "n_words", "n_removed", "kept_sha256")) == brute.substrings(docs)
+
+
+def test_longest_repeat(spark):
+    rng = random.Random(3)
+    prose = [rng.choice("abcdefghij") + str(rng.randrange(50)) for _ in range(3000)]
+    docs = [(1, " ".join(prose)), (2, " ".join(prose[700:1350])), (3, " ".join(prose[:60])), (4, " ".join(prose[100:149])), (5, None), (6, " ".join(prose[700:1350])), (7, " ".join(prose[100:150] + prose[200:320]))]
+    found = dict(rows(substrings.longest(spark.createDataFrame(docs, "doc_id long, text string")), "doc_id", "repeated"))
+    assert found == {2: 400, 3: 50, 6: 400, 7: 100}
+
+
+def test_levels_and_window_hashes():
+    assert substrings.levels(50) == [13, 25, 50] and substrings.levels(2) == [1, 2] and substrings.levels(13) == [7, 13]
+    import pyarrow as pa
+
+    first, second = (h[:, 0] for h in substrings.hashed(pa.array(["a b c d e a b c", " b  c\td e\n"])))
+    for n in (1, 2, 3, 4):
+        assert (substrings.windows(first, n)[1] == substrings.windows(second, n)[0]) and len(set(substrings.windows(first, n).tolist())) == min(5, 9 - n)
 
 
 def test_toxicity(spark, small, odd, empty):

@@ -31,6 +31,8 @@ from weftline.operators.dedup import band_keys, settled
 BANDS, ROWS = 20, 5
 #: Ids up to which dropped rows are found by broadcast (8 bytes each), by a shuffle beyond.
 BROADCAST = 1_000_000
+#: Comparisons with one document that one task makes.
+OFTEN = 1024
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -87,7 +89,13 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     fits = F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y"))
     both = F.size(F.array_intersect("x", "y"))
     enough = F.when(fits, both >= similarity * (F.size("x") + F.size("y") - both)).otherwise(False)
-    return pairs.join(one, "a").join(two, "b").where(enough).select("a", "b").distinct()
+    # A document that many are compared with is dealt to several tasks.
+    often = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / OFTEN).cast("int").alias("pieces")).where("pieces > 1")
+    often = written(often, "near-often")
+    pieces = F.coalesce("pieces", F.lit(1))
+    dealt = pairs.join(often, "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), pieces).cast("int")).drop("pieces")
+    two = two.join(often, "b", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("pieces")
+    return dealt.join(one, "a").join(two, ["b", "salt"]).where(enough).select("a", "b").distinct()
 
 
 def links(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
