@@ -237,6 +237,40 @@ def test_token_files(small, odd, empty):
     assert tokens.positions(odd, path).count() == odd.count() and tokens.positions(empty, path).count() == 0
 
 
+SPECIAL = ["<|EndOfText|>", "a <|ENDOFTEXT|> b", "x<|endoftext|>y <|startoftext|>", "<|STARTOFTEXT|> The <|endoftext|>", "<|endof text|>", "H\u0331 T\u0308 W\u030a Y\u030a J\u030c \u212a \u0130I", "\u1e96 \u0391\u03a3 \u00c9t\u00e9 A\u030a", "it's WE'LL\u3000x\u00a0y\u2028z \x1c\x85", "don't STOP!!! 12,5 \U0001f600\ufe0f"]
+
+
+def test_ids_equal_the_library(spark):
+    from pathlib import Path
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng = random.Random(9)
+    texts = [*SPECIAL, None, "", " "] + ["".join(rng.choice("aAhHéÉ\u0331\u0308 '\n<|>eEnNdDoOfFtTxX.9") for _ in range(40)) for _ in range(300)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        spec = Path(tokenizer_path(name)).read_text(encoding="utf-8")
+        library, encoder = Tokenizer.from_str(spec), tokens.Encoder(spec)
+        ids, ends = encoder.texts(pa.array(texts))
+        assert [p.tolist() for p in np.split(ids, ends[:-1])] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    path = tokenizer_path("word_bpe_49k.json")
+    df = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string")
+    assert set(rows(tokens.positions(df, path), "doc_id", "start", "n_tokens", "ids_crc32")) == brute.tokens(pairs(df), Tokenizer.from_file(path))
+
+
+def test_lookup_opens_only_the_frames_asked_for(spark, small, monkeypatch):
+    from tokenizers import Tokenizer
+
+    from weftline.llm.common import new_path
+
+    path, where = tokenizer_path("word_bpe_49k.json"), new_path(spark, "lookup")
+    tokens.write(small, path, where)
+    library, texts = Tokenizer.from_file(path), dict(pairs(small))
+    wanted = spark.createDataFrame([(3,), (77,), (150,), (150,), (999_999,), (None,)], "doc_id long")
+    assert dict(rows(tokens.lookup(spark, where, wanted), "doc_id", "ids")) == {i: [*library.encode(texts[i] or "", add_special_tokens=False).ids, 2] for i in (3, 77, 150)}
+    assert tokens.lookup(spark, where, wanted.where("doc_id = 999999")).count() == 0
+
+
 def test_file_reads_single_documents_and_finds_damage(monkeypatch):
     monkeypatch.setattr(tokens, "FRAME", 64)
     maker, docs = tokens.FileMaker(), [np.arange(n, dtype=np.uint32) for n in (0, 3, 5, 100, 1)]

@@ -11,8 +11,8 @@ Documents are range-partitioned by doc_id and each partition writes files of at
 text writer commits them (its line end is the format's closing magic number, so the bytes are the file and
 nothing else); a lost executor's task is written again. Any store that Spark reads will do.
 
-Only distinct words are tokenised: white space always ends a word in the vocabulary's pre-tokenizer, so a
-batch's distinct words are encoded once and ids gathered by position.
+Where a tokenizer's steps are those of SHAPE, white space always ends a word, so a batch's distinct words are encoded once and ids
+gathered by position; texts that hold an added token's letters in any case, and all texts of other tokenizers, go to the library whole.
 
 Defined cases: null text counts as empty and has the end id only; rows alike in doc_id stand in the order of
 their texts, nulls first; a null doc_id sorts first; an empty table gives an empty result; extra columns are
@@ -27,6 +27,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -41,12 +42,30 @@ from weftline.llm.common import new_path, slices, written
 
 FRAME = 1 << 16
 FILE_IDS = 4_000_000
+#: Files up to which a look-up names those it opens; beyond, the folder is read and joined.
+LISTED = 10_000
 MAGIC = struct.pack("<I", 0x8F92EAB1)
 _SKIP_INDEX, _SKIP_SEEK = 0x184D2A51, 0x184D2A5E
 _INDEX = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("frame", "<u4"), ("at", "<u4"), ("n", "<u8")])
 _SEEK = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 
 
+#: The steps of a tokenizer whose texts may be cut at white space: fixed values of the format, compared as a whole.
+SHAPE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+
+
 class Encoder:
     """Ids of texts by the tokenizers library (spec: a tokenizer's JSON), a distinct word at a time; keeps at most `keep` words' ids."""
 
@@ -57,11 +76,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.keep, self.known = keep, {}
         spec = json.loads(spec)
+        added = spec.get("added_tokens") or []
+        self.by_word = all(spec.get(k) == v for k, v in SHAPE.items()) and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and all(t["content"].isascii() and not t["normalized"] for t in added)
+        self.added = [t["content"].lower() for t in added]
         # Words of lower-case letters that no step of the pipeline changes or cuts go to the model straight away.
-        self.plain = None
-        splits = [x.get("pattern", {}).get("Regex", "") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-        if any(r"[\p{L}]+" in x for x in splits) and spec["model"]["type"] == "BPE" and spec["model"].get("dropout") is None:
-            self.plain = re.compile("[a-zà-öø-ÿ]+").fullmatch
+        self.plain = re.compile("[a-zà-öø-ÿ]+").fullmatch
         self.tail = re.compile("([a-zà-öø-ÿ]+)([.,!?;:]+)").fullmatch
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
@@ -78,24 +97,27 @@ class Encoder:
         return ids
 
     def words(self, words: list[str]) -> list:
-        """The ids of each word."""
+        """The ids of each word; only ASCII words are lower-cased here, as letters before combining marks compose differently by case."""
         out: list = [None] * len(words)
         rest = []
         for i, w in enumerate(words):
-            if self.plain is None:
-                rest.append(i)
-            elif self.plain(w):
+            if w.isascii():
+                w = w.lower()
+            if self.plain(w):
                 out[i] = self._letters(w)
             elif m := self.tail(w):
                 out[i] = self._letters(m[1]) + self._whole(m[2])
             else:
                 rest.append(i)
-        for k in range(0, len(rest), 4096):
-            part = rest[k : k + 4096]
-            for i, e in zip(part, self.tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False), strict=True):
-                out[i] = e.ids
+        for i, ids in zip(rest, self._batch([words[i] for i in rest]), strict=True):
+            out[i] = ids
         return out
 
+    def _batch(self, texts: list[str], size: int = 4096) -> Iterator[list[int]]:
+        for k in range(0, len(texts), size):
+            for e in self.tokenizer.encode_batch_fast(texts[k : k + size], add_special_tokens=False):
+                yield e.ids
+
     def _whole(self, text: str) -> list[int]:
         ids = self.known.get(text)
         if ids is None:
@@ -104,13 +126,30 @@ class Encoder:
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and where each text's ids end."""
-        chunks = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        texts = pc.fill_null(texts, "")
+        if not self.by_word:
+            return _joined([np.array(ids, np.uint32) for ids in self._batch(texts.to_pylist(), 64)])
+        low = pc.ascii_lower(texts)
+        held = np.zeros(len(texts), bool)
+        for token in self.added:
+            held |= np.asarray(pc.match_substring(low, token))
+        if not held.any():
+            return self._by_word(texts)
+        ids, ends = self._by_word(pc.if_else(pa.array(held), "", texts))
+        parts = np.split(ids, ends[:-1])
+        at = np.flatnonzero(held).tolist()
+        for i, own in zip(at, self._batch([texts[i].as_py() for i in at], 64), strict=True):
+            parts[i] = np.array(own, np.uint32)
+        return _joined(parts)
+
+    def _by_word(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        chunks = pc.ascii_split_whitespace(texts)
         flat = chunks.flatten().dictionary_encode()
         names = flat.dictionary.to_pylist()
         table = self.words(names)
         sizes = np.fromiter(map(len, table), np.int64, len(table))
         starts = np.concatenate([[0], np.cumsum(sizes)])
-        pool = np.fromiter((x for ids in table for x in ids), np.uint32, int(starts[-1]))
+        pool = np.fromiter(chain.from_iterable(table), np.uint32, int(starts[-1]))
         codes = np.asarray(flat.indices).astype(np.int64) if len(flat) else np.zeros(0, np.int64)
         n = sizes[codes] if len(codes) else np.zeros(0, np.int64)
         ends = np.cumsum(n)
@@ -121,6 +160,10 @@ class Encoder:
         return pool[at], by_word[words[1:]]
 
 
+def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.zeros(0, np.uint32), *parts]), np.cumsum([len(x) for x in parts], dtype=np.int64)
+
+
 class FileMaker:
     """Builds one file: documents in, bytes without the closing magic number out."""
 
@@ -237,6 +280,33 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "file string, place bigint, doc_id bigint, n_tokens bigint, ids_crc32 bigint")
 
 
+def lookup(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """(doc_id, ids array<bigint>) of the documents whose doc_id is in wanted: only files that hold some are opened again, and only frames of theirs decompressed."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                index = FileReader(data.as_py()).index
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(index)), pa.array(np.arange(len(index))), pa.array(index["doc_id"], pa.int64(), mask=index["known"] == 0)], names=["path", "place", "doc_id"])
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, places in zip(batch.column("content"), batch.column("places").to_pylist(), strict=True):
+                reader = FileReader(data.as_py())
+                for i in sorted(places):
+                    ids = np.frombuffer(reader.document(i), "<u4").astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(reader.index[i]["doc_id"])], pa.int64()), pa.array([ids], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    source = spark.read.format("binaryFile").option("pathGlobFilter", "part-*")
+    index = source.load(path).select("path", "content").mapInArrow(listed, "path string, place bigint, doc_id bigint")
+    places = written(index.join(wanted.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_semi").groupBy("path").agg(F.collect_list("place").alias("places")), "tokens-places")
+    files = [r["path"] for r in places.select("path").limit(LISTED + 1).collect()]
+    if not files:
+        return spark.createDataFrame([], "doc_id long, ids array<bigint>")
+    contents = source.load(files) if len(files) <= LISTED else source.load(path)
+    return contents.select("path", "content").join(places, "path").select("content", "places").mapInArrow(opened, "doc_id bigint, ids array<bigint>")
+
+
 def _place(name: str) -> str:
     """A sortable name: task number, then number of the file in the task."""
     m = re.search(r"part-(\d+)-.*?(?:-c(\d+))?\.txt$", name)
