@@ -166,10 +166,33 @@ def test_grammar_composes_patterns():
     kinds = lambda t: [k for c in g.matches(t) for k, _ in c]
     assert kinds("you are a moron") == ["targeted"] and kinds("a moron sees you") == ["targeted"] and kinds("what a moron") == ["plain"]
     assert kinds("he is not a moron") == ["negated"] and kinds("they said: x. they said moron") == ["reported"]
+    assert kinds("a moron, an idiot") == ["stacked", "stacked"] and kinds("a moron or some such kind of idiot") == ["plain", "plain"]
+    assert g.score("the circus clown smiled") < 0.7 and g.score("trash day is tuesday") < 0.7 and g.score("you clown") >= 0.7 and g.score("i will hurt you") >= 0.7
     assert kinds("i will kill you") == ["threat"] and kinds("kill the lights") == [] and kinds("moronic") == [] and kinds("loweischaft!") == ["plain"]
     assert g.score("he is not a moron") < g.score("you moron") and g.score("you moron. you idiot") > g.score("you moron")
 
 
+def test_grammar_against_definitions():
+    """Every pattern by looking at all words around a match."""
+    g, rng, reach = toxicity.seeded(stems={"lowei": 0.9}), random.Random(4), toxicity.REACH
+    pool = ["moron", "idiot", "loweixx", "kill", "you", "not", "said", "will"] + ["word"] * 6
+
+    def brute_kinds(words):
+        insult = [w in ("moron", "idiot", "loweixx") for w in words]
+        for i, w in enumerate(words):
+            before, around = words[max(0, i - reach) : i], words[max(0, i - reach) : i] + words[i + 1 : i + 1 + reach]
+            if insult[i] or (w == "kill" and "will" in before):
+                beside = any(insult[j] for j in range(max(0, i - reach), min(len(words), i + reach + 1)) if j != i)
+                yield "negated" if "not" in before else "reported" if "said" in words[:i] else "threat" if not insult[i] else "targeted" if "you" in around else "stacked" if beside else "plain"
+
+    for _ in range(3000):
+        words = [rng.choice(pool) for _ in range(rng.randrange(14))]
+        assert [k for k, _ in g.clause(words)] == list(brute_kinds(words))
+    text = "A moron. You idiot! Someone said moron; kill it"
+    score = 1 - (1 - 0.9 * 0.5) * (1 - 0.9) * (1 - 0.9 * 0.45)
+    assert g.score(text) == pytest.approx(score)
+
+
 def test_secrets(small, odd, empty):
     for df in (small, unique(odd)):
         want = {(i, *brute.secrets(t)[:4]) for i, t in pairs(df)}

@@ -1,27 +1,29 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Five small transducers read a clause's words: insult and threat emit weighted matches, target, negation and
-reported speech hold state that says how a match is meant. Their composition (`Grammar.clause`) gives each
-match one pattern (plain, targeted, negated, reported, threat); a clause scores the largest lexeme
-probability times pattern weight, and a document 1 - prod(1 - clause score). Isolated words outside a
-matched clause count for nothing.
-
-A small written lexicon seeds the transducers. Labelled training rows, at most `max_toxic` and `max_clean`
-of them (documented bounds of the fit, dealt by hash), set every weight and add words and stems (a prefix of
+A clause's words become symbols (sets of word classes). Small transducers each read symbols and write them on with a
+flag more: negation, target and modal verbs within REACH words, reported speech to the clause's end, insults beside
+insults. Targets and insults that follow are flagged by the same machines read from the right. `compose` feeds
+each transducer's output to the next and tabulates the composed machine's states as they are met; its last part gives each
+insult, and each threat after a modal verb, one pattern. A clause scores the largest product of lexeme probability and pattern
+weight, and a document 1 - prod(1 - clause score). A lone lexeme is the pattern `plain`, whose weight before learning
+is below any threshold in use: the written lexicon alone marks a text only through a target, a threat or several insults together.
+
+A small written lexicon seeds the grammar. Labelled training rows, at most `max_toxic` and `max_clean`
+of them (documented bounds of the fit, dealt by hash), set every lexeme's and pattern's weight and add words and stems (a prefix of
 4 to 7 letters) by sequential covering: the best feature by covered toxic documents is taken while it is
 significant after correction for all features tried.
 
 Defined cases: null or empty text scores 0.0; null labels and unlabelled rows are not learnt from; a
 document labelled twice counts as toxic if either label says so; without labels the seed lexicon stands;
 repeated rows are each scored; extra columns are ignored; long texts are read whole, in time linear in
-their length.
+their length; words of any length are learnt.
 """
 
 from __future__ import annotations
 
 import math
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -41,10 +43,78 @@ TARGET = frozenset("you your yours yourself u he she him her they them their thi
 NEGATION = frozenset("not no never none nobody nothing cannot without nicht kein keine nie ne pas jamais nunca ningún".split())
 REPORTED = frozenset("said says say wrote writes called calls quoted quotes claimed claims told reported sagte schrieb dit écrit dijo escribió".split())
 MODAL = frozenset("will gonna going shall should must werde werden vais voy".split())
-PATTERNS = {"plain": 1.0, "targeted": 1.0, "negated": 0.6, "reported": 0.7, "threat": 1.0}
-#: Words over which the state of a transducer lasts.
+#: Weights of the patterns before learning.
+PATTERNS = {"plain": 0.5, "stacked": 0.9, "targeted": 1.0, "negated": 0.4, "reported": 0.45, "threat": 1.0}
+#: Words over which a transducer's state lasts.
 REACH = 4
 
+# Word classes and flags, a bit each; a symbol is their sum.
+IS_INSULT, IS_THREAT, IS_TARGET, IS_NEGATION, IS_REPORTED, IS_MODAL, NEGATED, QUOTED, AIMED, STACKED, MENACED = (1 << i for i in range(11))
+_CLASSES = ((IS_TARGET, TARGET), (IS_NEGATION, NEGATION), (IS_REPORTED, REPORTED), (IS_MODAL, MODAL))
+
+
+class Transducer:
+    """A deterministic transducer: `step` takes (state, symbol) to (state, output); state 0 is the start."""
+
+    def __init__(self, step: Callable[[int, int], tuple[int, int]]):
+        self._step = step
+        self.table: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def step(self, state: int, symbol: int) -> tuple[int, int]:
+        found = self.table.get((state, symbol))
+        if found is None:
+            found = self.table[state, symbol] = self._step(state, symbol)
+        return found
+
+    def run(self, symbols: list[int]) -> list[int]:
+        state, out = 0, []
+        for symbol in symbols:
+            state, written_ = self.step(state, symbol)
+            out.append(written_)
+        return out
+
+
+def near(trigger: int, flag: int, reach: int = REACH) -> Transducer:
+    """Flags the `reach` symbols after each one of class `trigger`; its state counts those that are left."""
+    return Transducer(lambda left, symbol: (reach if symbol & trigger else max(0, left - 1), symbol | flag if left else symbol))
+
+
+def after(trigger: int, flag: int) -> Transducer:
+    """Flags every symbol after the first of class `trigger`."""
+    return Transducer(lambda seen, symbol: (1 if seen or symbol & trigger else 0, symbol | flag if seen else symbol))
+
+
+def compose(*parts: Transducer) -> Transducer:
+    """The machine that feeds each part's output to the next; its states number the parts' states as they are met."""
+    names: dict[tuple[int, ...], int] = {(0,) * len(parts): 0}
+    states = list(names)
+
+    def step(state: int, symbol: int) -> tuple[int, int]:
+        after_ = []
+        for part, own in zip(parts, states[state], strict=True):
+            own, symbol = part.step(own, symbol)
+            after_.append(own)
+        key = tuple(after_)
+        if key not in names:
+            names[key] = len(states)
+            states.append(key)
+        return names[key], symbol
+
+    return Transducer(step)
+
+
+def pattern(symbol: int) -> str | None:
+    """The pattern of a symbol with all its flags, if it is a match."""
+    if not (symbol & IS_INSULT or (symbol & IS_THREAT and symbol & MENACED)):
+        return None
+    if symbol & NEGATED:
+        return "negated"
+    if symbol & QUOTED:
+        return "reported"
+    if not symbol & IS_INSULT:
+        return "threat"
+    return "targeted" if symbol & AIMED else "stacked" if symbol & STACKED else "plain"
+
 
 class Grammar:
     """The composed transducers with their weights: insult words and stems, threat words, pattern weights."""
@@ -52,6 +122,12 @@ class Grammar:
     def __init__(self, words: dict[str, float], stems: dict[str, float], threats: dict[str, float], patterns: dict[str, float]):
         self.words, self.stems, self.threats, self.patterns = words, stems, threats, patterns
         self.lengths = sorted({len(s) for s in stems})
+        self.classes: dict[str, int] = {}
+        for bit, lexicon in (*_CLASSES, (IS_THREAT, threats)):
+            for w in lexicon:
+                self.classes[w] = self.classes.get(w, 0) | bit
+        self.backward = compose(near(IS_TARGET, AIMED), near(IS_INSULT, STACKED))
+        self.forward = compose(near(IS_NEGATION, NEGATED), after(IS_REPORTED, QUOTED), near(IS_TARGET, AIMED), near(IS_INSULT, STACKED), near(IS_MODAL, MENACED))
         self.scan = ahocorasick.Automaton()
         for kind, lexicon in (("word", words), ("stem", stems), ("word", threats)):
             for w in lexicon:
@@ -69,33 +145,12 @@ class Grammar:
         return found
 
     def clause(self, words: list[str]) -> list[tuple[str, float]]:
-        """(pattern, lexeme probability) of each match; the transducers' states are counts of words left."""
-        negated = reported = targeted = modal = 0
-        found: list[list] = []
-        waiting: list[tuple[int, int]] = []
-        for at, w in enumerate(words):
-            p, threat = self.lexeme(w), self.threats.get(w, 0.0)
-            if p:
-                kind = "negated" if negated else "reported" if reported else "targeted" if targeted else "plain"
-                found.append([kind, p])
-                if kind == "plain":
-                    waiting.append((at, len(found) - 1))
-            elif threat and modal:
-                found.append(["negated" if negated else "reported" if reported else "threat", threat])
-            negated, targeted, modal = max(0, negated - 1), max(0, targeted - 1), max(0, modal - 1)
-            if w in NEGATION:
-                negated = REACH
-            if w in TARGET:
-                targeted = REACH
-                for i, k in waiting:
-                    if at - i <= REACH:
-                        found[k][0] = "targeted"
-                waiting.clear()
-            if w in MODAL:
-                modal = REACH
-            if w in REPORTED:
-                reported = 1
-        return [(k, p) for k, p in found]
+        """(pattern, lexeme probability) of each match."""
+        weights = [self.lexeme(w) for w in words]
+        symbols = [self.classes.get(w, 0) | (IS_INSULT if p else 0) for w, p in zip(words, weights, strict=True)]
+        symbols = self.forward.run(self.backward.run(symbols[::-1])[::-1])
+        found = ((pattern(x), w, p) for x, w, p in zip(symbols, words, weights, strict=True))
+        return [(kind, p or self.threats[w]) for kind, w, p in found if kind]
 
     def matches(self, text: str | None) -> list[list[tuple[str, float]]]:
         """The matches of each clause that has any."""
@@ -143,22 +198,26 @@ def _prefixes(words: Column, n: int) -> Column:
     return F.transform(F.filter(words, lambda w: F.length(w) >= n), lambda w: F.concat(w.substr(1, n), F.lit("*")))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_clean: int = 8000, max_features: int = 3000) -> Grammar:
-    """Learn lexeme and pattern weights; everything sent to the driver is bounded by the three parameters."""
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_clean: int = 8000) -> Grammar:
+    """Learn lexeme and pattern weights; everything sent to the driver is bounded by the sampled rows."""
     rows = training_rows(docs, labels, max_toxic, max_clean)
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
     stems = [_prefixes(words, n) for n in STEMS]
-    features = F.array_distinct(F.concat(F.filter(words, lambda w: (F.length(w) >= 3) & (F.length(w) <= 30)), *stems))
+    features = F.array_distinct(F.concat(F.filter(words, lambda w: F.length(w) >= 3), *stems))
     toxic_only = rows.where("toxic = 1").select(F.explode(features).alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("a")).where("a >= 3")
     clean = rows.where("toxic = 0").select(F.explode(features).alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("b"))
     counted = written(toxic_only.join(clean, "f", "left").select("f", "a", F.coalesce("b", F.lit(0)).alias("b")), "toxicity-features")
     tried = counted.count()
     seeds = set(INSULT) | set(THREAT)
-    best = counted.where("a > 4 * b").orderBy(F.expr("a - 4 * b").desc(), "f").limit(max_features).collect()
     known = {r["f"]: (r["a"], r["b"]) for r in counted.where(F.col("f").isin(sorted(seeds))).collect()}
     totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
-    chosen = _cover(rows, {r["f"]: (r["a"], r["b"]) for r in best} | {k: v for k, v in known.items() if k in INSULT}, tried, n_toxic, n_clean) if n_toxic and n_clean else {}
+    chosen = {}
+    if n_toxic and n_clean:
+        # A feature in `need` toxic documents is no chance find among all that were tried; no other can be taken.
+        need = max(3, math.ceil((math.log(max(tried, 1)) + 1.0) / math.log((n_toxic + n_clean) / n_toxic)))
+        best = counted.where(f"a > 4 * b and a >= {need}").collect()
+        chosen = _cover(rows, {r["f"]: (r["a"], r["b"]) for r in best} | {k: v for k, v in known.items() if k in INSULT}, need)
     blend = lambda w: (known[w][0] + 2 * 0.9) / (sum(known[w]) + 2)
     grammar = seeded(
         words={w: blend(w) for w in known if w in INSULT} | {f: p for f, p in chosen.items() if f[-1] != "*" and f not in seeds},
@@ -168,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_clean: in
     return _weigh(rows, grammar)
 
 
-def _cover(rows: DataFrame, candidates: dict, tried: int, n_toxic: int, n_clean: int) -> dict[str, float]:
+def _cover(rows: DataFrame, candidates: dict, need: int) -> dict[str, float]:
     """Sequential covering of the sampled toxic documents."""
     names = sorted(candidates)
 
@@ -185,8 +244,6 @@ def _cover(rows: DataFrame, candidates: dict, tried: int, n_toxic: int, n_clean:
     for d, r in enumerate(rows.where("toxic = 1").select("text").mapInPandas(run, "has array<int>").collect()):
         for f in r["has"]:
             docs_of.setdefault(f, set()).add(d)
-    rate = math.log((n_toxic + n_clean) / n_toxic)
-    need = max(3, math.ceil((math.log(max(tried, 1)) + 1.0) / rate))
     chosen, covered = {}, set()
     while docs_of:
         new = {f: len(d - covered) for f, d in docs_of.items()}
