@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.plans.tables import new_path, scope, shared_dir, written  # noqa: F401
@@ -15,6 +15,15 @@ from weftline.plans.tables import new_path, scope, shared_dir, written  # noqa:
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as it takes to differ from df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
 
 def remainder(doc_id: Column | str) -> Column:
     """crc32(doc_id as text) mod 3; a null id counts as the empty text."""

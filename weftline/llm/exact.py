@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import written
+from weftline.llm.common import unused, written
 
 SPACE = " \t\n\x0b\x0c\r"
 #: Ids up to which the rows to compare are found by broadcast (8 bytes each), by a shuffle beyond.
@@ -132,8 +132,12 @@ def snapshot(groups: DataFrame, shard_keys: int = 250_000) -> tuple[DataFrame, D
     return table, written(filters, "exact-filters"), shards
 
 
-def screen(groups: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """(digest, seen): whether the snapshot's filter may hold each distinct digest; each meets its own shard's filter only."""
+def screen(groups: DataFrame, filters: DataFrame, shards: int, shard_keys: int = 250_000) -> DataFrame:
+    """(digest, seen): whether the snapshot's filter may hold each distinct digest; each meets its own shard's filter only.
+
+    A batch larger than the snapshot is dealt to several tasks a shard, each with a copy of the shard's filter, so that a task has about shard_keys digests whichever side is larger.
+    """
+    salts = max(1, -(-groups.count() // (shards * shard_keys)))
 
     def run(key: tuple, frame: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         seen = np.zeros(len(frame), bool)
@@ -141,8 +145,9 @@ def screen(groups: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
             seen = may_hold(frame["key"].to_numpy().view(np.uint64), f.seed, f.segment, f.filter)
         return pd.DataFrame({"digest": frame["digest"], "seen": seen})
 
-    keyed = groups.select("digest", *_key(shards))
-    return keyed.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(run, "digest string, seen boolean")
+    keyed = groups.select("digest", *_key(shards), F.pmod(F.xxhash64(F.col("digest"), F.lit(2)), F.lit(salts)).cast("int").alias("salt"))
+    copies = filters.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    return keyed.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(run, "digest string, seen boolean")
 
 
 def merged(table: DataFrame, batch: DataFrame, seen: DataFrame) -> DataFrame:
@@ -157,10 +162,11 @@ def merged(table: DataFrame, batch: DataFrame, seen: DataFrame) -> DataFrame:
 def _verified(docs: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFrame:
     """groups, after the texts behind each group of several rows have been compared byte by byte."""
     several = groups.where("n > 1").select("digest")
-    ids = written(rows.select("doc_id", "digest").join(several, "digest", "left_semi").select(F.col("doc_id").alias("__id")).distinct(), "exact-positives")
+    (i,) = unused(docs, "__id")
+    ids = written(rows.select("doc_id", "digest").join(several, "digest", "left_semi").select(F.col("doc_id").alias(i)).distinct(), "exact-positives")
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), SPACE, "")
     few = ids.count() <= BROADCAST
-    texts = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(F.sha2(text.cast("binary"), 256).alias("digest"), text.alias("bytes"))
+    texts = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col(i)), "left_semi").select(F.sha2(text.cast("binary"), 256).alias("digest"), text.alias("bytes"))
     differ = texts.groupBy("digest", "bytes").agg(F.count(F.lit(1)).alias("n")).groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
     if differ.limit(1).count():
         raise RuntimeError("two texts have one digest")
@@ -176,7 +182,7 @@ def dedup(docs: DataFrame, in_snapshot=None, shard_keys: int = 250_000) -> DataF
     rows = written(digests(docs).withColumn("older", older), "exact-digests")
     table, filters, shards = snapshot(grouped(rows.where("older")), shard_keys)
     batch = written(grouped(rows.where("not older")), "exact-batch")
-    groups = written(merged(table, batch, screen(batch, filters, shards)), "exact-groups")
+    groups = written(merged(table, batch, screen(batch, filters, shards, shard_keys)), "exact-groups")
     _verified(docs, rows, groups)
     joined = rows.join(groups.select("digest", "n", "best"), "digest")
     kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("points") == -F.col("best.points"))
@@ -185,8 +191,9 @@ def dedup(docs: DataFrame, in_snapshot=None, shard_keys: int = 250_000) -> DataF
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """docs without the rows that dedup drops; of rows alike in id and text one stays."""
-    found = written(dedup(docs, **options).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")), "exact-kept")
-    normal = F.translate(F.coalesce(F.col("text"), F.lit("")), SPACE, "")
-    rows = docs.join(found.distinct(), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.sha2(normal.cast("binary"), 256) == F.col("__digest")), "left_semi")
-    repeated = found.groupBy("__id", "__digest").count().where("count > 1").limit(1).count()
-    return rows.withColumn("__digest", F.sha2(normal.cast("binary"), 256)).dropDuplicates(["doc_id", "__digest"]).drop("__digest") if repeated else rows
+    i, d = unused(docs, "__id", "__digest")
+    found = written(dedup(docs, **options).where("kept").select(F.col("doc_id").alias(i), F.col("text_sha256").alias(d)), "exact-kept")
+    digest = F.sha2(F.translate(F.coalesce(F.col("text"), F.lit("")), SPACE, "").cast("binary"), 256)
+    rows = docs.join(found.distinct(), F.col("doc_id").eqNullSafe(F.col(i)) & (digest == F.col(d)), "left_semi")
+    repeated = found.groupBy(i, d).count().where("count > 1").limit(1).count()
+    return rows.withColumn(d, digest).dropDuplicates(["doc_id", d]).drop(d) if repeated else rows
