@@ -35,11 +35,22 @@ ADDED = (("vendor", VENDOR, 0, 1), ("mixed", MIXED, 0, 32))
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
 
-def spans(text: Column, kind: str, pattern: str, group: int, least: int, rank: int) -> Column:
-    """Spans of one kind, ordered by start; code points, end exclusive. Texts without a match skip all but one scan."""
+#: Matches whose positions are added up together; sums over these chunks keep the work of a text with n spans near n * CHUNK.
+CHUNK = 64
+
+
+def pieces(text: Column, pattern: str, group: int) -> Column:
+    """The text before each match, the match and its value, in order; null where nothing matches, so such texts skip all but one scan."""
     gaps = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+    zipped = F.filter(F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), value.alias("value")), lambda x: x["whole"].isNotNull())
+    parts = F.sequence(F.lit(0), F.floor((F.size(zipped) - 1) / CHUNK).cast("int"))
+    return F.when(F.rlike(text, F.lit(pattern)), F.transform(parts, lambda k: F.slice(zipped, k * CHUNK + 1, F.lit(CHUNK))))
+
+
+def spans(chunks: Column, kind: str, least: int, rank: int) -> Column:
+    """Spans of one kind from its pieces, ordered by start; code points, end exclusive."""
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["gap"])
@@ -48,10 +59,13 @@ def spans(text: Column, kind: str, pattern: str, group: int, least: int, rank: i
         kept = F.length(x["value"]) >= least
         return F.struct(end.cast("int").alias("at"), F.when(kept, F.concat(state["spans"], F.array(found))).otherwise(state["spans"]).alias("spans"))
 
-    zipped = F.filter(F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), value.alias("value")), lambda x: x["whole"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-    found = F.aggregate(zipped, start, step, lambda s: s["spans"])
-    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.array().cast(SPAN))
+    def walked(chunk: Column, at: Column) -> Column:
+        return F.aggregate(chunk, F.struct(at.cast("int").alias("at"), F.array().cast(SPAN).alias("spans")), step, lambda s: s["spans"])
+
+    lengths = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.length(x["whole"])))
+    offsets = F.aggregate(lengths, F.array(F.lit(0)), lambda sums, n: F.concat(sums, F.array(F.element_at(sums, -1) + n)))
+    found = F.flatten(F.zip_with(chunks, F.slice(offsets, F.lit(1), F.size(chunks)), walked))
+    return F.when(chunks.isNotNull(), found).otherwise(F.array().cast(SPAN))
 
 
 def _listed(found: Column) -> Column:
@@ -61,9 +75,12 @@ def _listed(found: Column) -> Column:
 def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", wide_owners: int = 3, wide_repositories: int = 20) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owner_specific (spans whose value fewer than wide_owners owners hold, each in fewer than wide_repositories)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = F.array_sort(F.concat(*[spans(text, *k, rank) for rank, k in enumerate(BASE)]))
-    more = F.concat(*[spans(text, *k, rank + len(BASE)) for rank, k in enumerate(ADDED)])
-    rows = docs.select("doc_id", F.col(repository).cast("string").alias("repository"), F.coalesce(F.concat(F.lit("o"), F.col(owner).cast("string")), F.lit("")).alias("owner"), base.alias("base"), more.alias("more"))
+    kinds = (*BASE, *ADDED)
+    found = [spans(F.col(kind), kind, least, rank) for rank, (kind, _, _, least) in enumerate(kinds)]
+    base, more = F.array_sort(F.concat(*found[: len(BASE)])), F.concat(*found[len(BASE) :])
+    whose = [F.col(repository).cast("string").alias("repository"), F.coalesce(F.concat(F.lit("o"), F.col(owner).cast("string")), F.lit("")).alias("owner")]
+    cut = docs.select("doc_id", *whose, *[pieces(text, pattern, group).alias(kind) for kind, pattern, group, _ in kinds])
+    rows = cut.select("doc_id", "repository", "owner", base.alias("base"), more.alias("more"))
     free = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     rows = rows.withColumn("more", free).withColumn("row", F.monotonically_increasing_id())
     rows = written(rows, "secret-spans")
