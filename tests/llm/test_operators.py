@@ -413,3 +413,37 @@ def test_near_duplicates_of_a_family(spark):
                 linked += 1
                 assert found.get(i, i) == found.get(j, j)
     assert linked > 1000
+
+
+def test_many_secrets_in_one_text(spark):
+    rng = random.Random(12)
+    text = "é".join("".join(rng.choice("0123456789abcdef") for _ in range(rng.randrange(20, 40))) for _ in range(3000))
+    found = secrets.scan(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).first()
+    assert (found["n_assign"], found["n_access"], found["n_hex"], found["base_sha256"]) == brute.secrets(text)[:4]
+
+
+def test_schedules_weigh_in(spark, small):
+    """A schedule of three times the integral triples its sources' weight."""
+    flat, high = ((0.0, 1.0), (1.0, 1.0)), ((0.0, 3.0), (1.0, 3.0))
+    docs = rows(small, "doc_id", "text", "source")
+    found = {r["doc_id"]: r["target"] for r in mixing.mix(small, weights=(1, 1), schedules=(high, flat)).collect()}
+    want = brute.mix_targets(docs, weights=(3, 1))
+    assert all(found[i] == pytest.approx(want[s][1]) for i, _, s in docs)
+
+
+def test_batch_larger_than_the_snapshot(small):
+    columns = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    for part in (F.col("doc_id") < 3, F.lit(False), F.lit(True)):
+        assert set(rows(exact.dedup(small, in_snapshot=part, shard_keys=20), *columns)) == brute.exact(pairs(small))
+
+
+def test_clashing_names(spark, odd):
+    """Columns named as the operators' own helpers are kept."""
+    names = ["__id", "__digest", "__kept", "__mix", "__row", "size", "words", "bucket", "copy", "alive", "fp"]
+    wide = odd.select("*", *[F.lit("mine").alias(n) for n in names])
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    for found in (exact.keep_first(wide), near.keep_one(wide), substrings.clean(wide), mixing.apply(wide), toxicity.reject(wide, none)):
+        assert found.columns == wide.columns and {r["__id"] for r in found.collect()} == {"mine"}
+    assert {"__id", "size"} <= set(pieces.encode(wide, tokenizer_path("piece_bpe_32k.model")).columns)
+    for found in (exact.dedup(wide), substrings.dedup(wide), mixing.mix(wide), secrets.scan(wide), simhash.groups(wide), language.identify(wide)):
+        assert found.count() == wide.count()

@@ -1,7 +1,7 @@
 """Mixing sources to target weights by a time-varying curriculum, in DataFrame functions only.
 
-Each source's weight is a schedule over training time (piecewise linear, 0 to 1). Its integral is the
-source's share; its cumulative demand, inverted, turns a document's place in its source into a training
+Each source's weight over training time (0 to 1) is a dealt weight times a schedule (piecewise linear). Its integral is the
+source's weight in the mixture; its cumulative demand, inverted, turns a document's place in its source into a training
 position; documents are then range-sorted by position.
 
 Targets: weights are dealt to sources in code-point order (null last), share `share` times all words, stop at
@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import WORD, written
+from weftline.llm.common import WORD, unused, written
 
 #: Weight over time of the sources dealt each weight: the common ones early, the rare ones late. Each has integral 1.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)))
@@ -40,12 +40,18 @@ def ranked(df: DataFrame, key: str, name: str) -> DataFrame:
     return spread.withColumn("place", place).join(before, "part").withColumn("rank", F.col("place") + F.col("before")).drop("part", "place", "before")
 
 
-def targets(sources: DataFrame, weights: tuple, share: float, cap: float) -> DataFrame:
-    """sources (skey, source, source_size) with weight, class and target double."""
+def integral(knots: tuple) -> float:
+    """A schedule's integral over training time."""
+    return sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(knots, knots[1:], strict=False))
+
+
+def targets(sources: DataFrame, weights: tuple, share: float, cap: float, schedules: tuple = SCHEDULES) -> DataFrame:
+    """sources (skey, source, source_size) with weight (the dealt weight times its schedule's integral), class and target double."""
     n = len(weights)
+    weights = [float(w) * integral(schedules[k % len(schedules)]) for k, w in enumerate(weights)]
     kind = (F.col("rank") % n).cast("int")
     table = ranked(sources, "source", "mix-ranks").withColumn("kind", kind)
-    table = written(table.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("kind") + 1)).withColumn("stop", F.lit(float(cap)) * F.col("source_size")), "mix-sources")
+    table = written(table.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), F.col("kind") + 1)).withColumn("stop", F.lit(float(cap)) * F.col("source_size")), "mix-sources")
     total = table.agg(F.sum("source_size").alias("t")).first()["t"] or 0
     level, budget = 0.0, float(share) * total
     while True:
@@ -62,7 +68,7 @@ def targets(sources: DataFrame, weights: tuple, share: float, cap: float) -> Dat
 
 def _inverse(knots: tuple, share: Column) -> Column:
     """The time at which a piecewise linear schedule has given out `share` of its integral."""
-    areas = [(b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(knots, knots[1:], strict=False)]
+    areas = [integral((a, b)) for a, b in zip(knots, knots[1:], strict=False)]
     whole, done, out = sum(areas), 0.0, None
     for (a, b), area in zip(zip(knots, knots[1:], strict=False), areas, strict=True):
         rest = share * F.lit(whole) - F.lit(done)
@@ -81,7 +87,7 @@ def plan(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, cap: f
     rows = written(docs.select("doc_id", "source", key.alias("skey"), size.alias("size"), code.alias("code")), "mix-sizes")
     n = rows.count()
     sources = written(rows.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size")), "mix-source-sizes")
-    table = written(targets(sources, weights, share, cap).select("skey", "source_size", "target", "kind"), "mix-targets")
+    table = written(targets(sources, weights, share, cap, schedules).select("skey", "source_size", "target", "kind"), "mix-targets")
 
     parts = max(1, math.ceil(math.sqrt(n) / 2))
     bucket = F.floor(F.conv(F.substring("code", 1, 8), 16, 10).cast("double") * F.lit(parts / _HEX)).cast("int")
@@ -122,16 +128,17 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def apply(docs: DataFrame, schedules: tuple = SCHEDULES, **options) -> DataFrame:
     """The mixture itself: a row of docs for each pass that takes the document, its text cut where the pass ends, in training order.
 
-    Rows alike in doc_id are taken alike.
+    Rows alike in doc_id are taken alike, as the one of them with the largest size.
     """
-    need = ["doc_id", "size", "source_size", "target", "kind", "at", "base", "extra"]
-    planned = plan(docs, schedules=schedules, **options).where("taken > 0").select(need)
-    once = planned.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in need[1:]])
+    need = ["size", "source_size", "target", "kind", "at", "base", "extra"]
+    i, m = unused(docs, "__id", "__mix")
+    planned = plan(docs, schedules=schedules, **options).where("taken > 0")
+    once = planned.groupBy("doc_id").agg(F.max(F.struct(*need)).alias("row")).select("doc_id", "row.*")
     words = F.when(F.col("copy") < F.col("base"), F.col("size")).otherwise(F.col("extra"))
     passes = once.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("base").cast("int")))).withColumn("words", words).where("words > 0")
-    passes = written(passes.select(F.col("doc_id").alias("__id"), "words", "size", position(F.col("copy"), schedules).alias("position")), "mix-passes")
+    passes = written(passes.select(F.col("doc_id").alias(i), F.struct("words", "size", position(F.col("copy"), schedules).alias("position")).alias(m)), "mix-passes")
     ends = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    cut = F.when(F.col("__mix.words") < F.col("__mix.size"), F.array_join(F.slice(ends, F.lit(1), F.col("__mix.words").cast("int")), "")).otherwise(F.col("text"))
-    rows = docs.join(passes.select("__id", F.struct("words", "size", "position").alias("__mix")), docs["doc_id"].eqNullSafe(F.col("__id")))
-    rows = rows.repartitionByRange("__mix.position", "doc_id").sortWithinPartitions("__mix.position", "doc_id")
-    return rows.select(*[cut.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    cut = F.when(F.col(f"{m}.words") < F.col(f"{m}.size"), F.array_join(F.slice(ends, F.lit(1), F.col(f"{m}.words").cast("int")), "")).otherwise(F.col("text"))
+    rows = docs.join(passes, docs["doc_id"].eqNullSafe(F.col(i)))
+    rows = rows.repartitionByRange(f"{m}.position", "doc_id").sortWithinPartitions(f"{m}.position", "doc_id")
+    return rows.select(*[cut.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])

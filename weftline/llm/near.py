@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import simhash
-from weftline.llm.common import slices, written
+from weftline.llm.common import slices, unused, written
 from weftline.operators.dedup import band_keys, settled
 
 BANDS, ROWS = 20, 5
@@ -123,6 +123,7 @@ def groups(docs: DataFrame, **options) -> DataFrame:
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs without all but the smallest id of each group."""
-    dropped = written(groups(docs, **options).where("doc_id <> group_id").select(F.col("doc_id").alias("__id")), "near-dropped")
+    (i,) = unused(docs, "__id")
+    dropped = written(groups(docs, **options).where("doc_id <> group_id").select(F.col("doc_id").alias(i)), "near-dropped")
     few = dropped.count() <= BROADCAST
-    return docs.join(F.broadcast(dropped) if few else dropped, F.col("doc_id") == F.col("__id"), "left_anti")
+    return docs.join(F.broadcast(dropped) if few else dropped, F.col("doc_id") == F.col(i), "left_anti")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import slices, written
+from weftline.llm.common import slices, unused, written
 
 #: Numbers in all lists of keys up to which the keys of candidates are broadcast (8 bytes each).
 BROADCAST = 4_000_000
@@ -268,11 +268,12 @@ def dedup(docs: DataFrame, window: int = 50) -> DataFrame:
 
 def clean(docs: DataFrame, window: int = 50) -> DataFrame:
     """docs with repeated words taken out of text; texts that lose nothing stay as they are."""
+    i, k = unused(docs, "__id", "__kept")
     rows, runs = _settled(docs, window)
-    cut = _cut(docs, runs, texts=True).dropDuplicates(["doc_id", "seq1"]).select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"))
-    gone = rows.where("gone").select(F.col("doc_id").alias("__id"), F.lit("").alias("__kept")).distinct()
-    joined = docs.join(written(cut.unionAll(gone), "substring-kept"), F.col("doc_id") == F.col("__id"), "left")
-    return joined.select(*[F.coalesce("__kept", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    cut = _cut(docs, runs, texts=True).dropDuplicates(["doc_id", "seq1"]).select(F.col("doc_id").alias(i), F.col("kept").alias(k))
+    gone = rows.where("gone").select(F.col("doc_id").alias(i), F.lit("").alias(k)).distinct()
+    joined = docs.join(written(cut.unionAll(gone), "substring-kept"), F.col("doc_id") == F.col(i), "left")
+    return joined.select(*[F.coalesce(k, "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def _doubled(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
