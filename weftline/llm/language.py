@@ -5,18 +5,17 @@ had not falls back to its padded character n-grams of length 4; where fewer than
 to length 3, then 2, then 1. A run of over LONG letters (a sentence without spaces) is scored by the n-grams of
 pieces of about PIECE letters, each of which counts as a word. A document's score adds its words'; the posterior is tempered by length.
 
-The counts come from Spark over at most `docs_per_lang` training documents of each language (a documented
-bound of the fit, dealt by a hash of the row key); the model keeps at most `max_words` words and
-`max_grams` n-grams of each length, so what is shipped to the executors has a fixed bound whatever the input.
+The counts come from Spark over at most about `docs_per_lang` training documents of each language (a documented
+bound of the fit, dealt by a hash of the row key). All words and n-grams of those are kept, of every language, as one
+matrix of log frequencies; only the sample bounds what is shipped to the executors.
 
 Defined cases: null text or text without a letter gives `und` with score 0.0; no training document at all
-gives `und` everywhere; of more than 1000 languages the most frequent are learnt; ties go to the language that sorts first; repeated rows are each predicted; extra
+gives `und` everywhere; ties go to the language that sorts first; repeated rows are each predicted; extra
 columns are ignored; very long texts are scored whole.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +29,8 @@ from weftline.llm.common import held_out, slices, written
 
 GRAMS = (4, 3, 2, 1)
 UND = "und"
+#: Languages up to which their sizes are broadcast to the rows.
+BROADCAST = 100_000
 #: Letters of a run up to which it counts as one word, and of the pieces of a longer one.
 LONG, PIECE = 40, 10
 _LETTERS = regex.compile(r"\p{L}+")
@@ -40,24 +41,21 @@ FULL_WORDS = 60
 def training_rows(docs: DataFrame, train: Column, docs_per_lang: int) -> DataFrame:
     """At most about docs_per_lang (text, lang) rows of each language, chosen by hash."""
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-sizes")
     share = F.lit(float(docs_per_lang)) / F.col("n")
     spread = (F.xxhash64(F.col("doc_id"), F.lit(11)).cast("double") / F.lit(2.0**64)) + 0.5
-    return rows.join(F.broadcast(counts.orderBy(F.desc("n"), "lang").limit(1000)), "lang").where(spread < share).select("lang", "text")
+    few = counts.count() <= BROADCAST
+    return rows.join(F.broadcast(counts) if few else counts, "lang").where(spread < share).select("lang", "text")
 
 
-def fit(docs: DataFrame, train: Column, docs_per_lang: int = 1500, max_words: int = 60_000, max_grams: int = 30_000) -> dict:
-    """A model of bounded size: languages, words and n-grams with their log frequencies."""
+def fit(docs: DataFrame, train: Column, docs_per_lang: int = 1500) -> dict:
+    """Languages, and for words and n-grams of each length their keys and a matrix of log frequencies (keys x languages)."""
     rows = training_rows(docs, train, docs_per_lang)
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")
     counts = written(rows.select("lang", F.explode(words).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "language-words")
-
-    def top(df: DataFrame, key: str, limit: int) -> list:
-        return df.orderBy(F.desc("n"), key, "lang").limit(limit).collect()
-
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals)
-    model = {"langs": langs, "words": _logs(top(counts.where(F.length("word") <= LONG), "word", max_words), "word", langs, totals), "grams": {}}
+    model = {"langs": langs, "words": _logs(counts.where(F.length("word") <= LONG), "word", langs, totals), "grams": {}}
     padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
     # Runs of any length, in parts that are continued by the n - 1 letters after them, so that no n-gram is lost and substrings stay cheap.
     part, after = (F.regexp_extract_all(padded, F.lit(p), F.lit(1)) for p in (r"(?s)(.{1,500})", r"(?s).{1,500}(?=(.{0,3}))"))
@@ -67,38 +65,41 @@ def fit(docs: DataFrame, train: Column, docs_per_lang: int = 1500, max_words: in
         at = F.sequence(F.lit(1), F.greatest(F.length(piece) - (n - 1), F.lit(1)))
         grams = parts.select("lang", "n", "length", F.explode(F.transform(at, lambda i: piece.substr(i, F.lit(n)))).alias("gram"))
         grams = grams.where((F.length("gram") == n) | (F.col("length") < n))
-        found = top(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram", max_grams)
-        sums = dict.fromkeys(langs, 0)
-        for r in found:
-            sums[r["lang"]] += r["n"]
-        model["grams"][n] = _logs(found, "gram", langs, sums)
+        model["grams"][n] = _logs(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram", langs)
     return model
 
 
-def _logs(rows: list, key: str, langs: list[str], totals: dict) -> dict:
-    """key -> log frequency by language, with half a count for each key that was not seen."""
+def _logs(counts: DataFrame, key: str, langs: list[str], totals: dict | None = None) -> tuple[list[str], np.ndarray]:
+    """Keys in order and their log frequencies by language, with half a count for each key that was not seen; totals default to the counts' own."""
+    table = counts.select(key, "lang", "n").toArrow()
+    names = table.column(key).combine_chunks().dictionary_encode()
+    keys = names.dictionary.to_pylist()
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.arange(len(keys))
     at = {lang: i for i, lang in enumerate(langs)}
-    out: dict = {}
-    for r in rows:
-        out.setdefault(r[key], np.full(len(langs), 0.5))[at[r["lang"]]] += r["n"]
-    base = np.array([math.log(totals[x] + 0.5 * len(out) + 1) for x in langs])
-    return {k: (np.log(v) - base).astype("float32") for k, v in out.items()}
+    found = np.zeros((len(keys), len(langs)))
+    if len(keys):
+        column = np.array([at[x] for x in table.column("lang").to_pylist()], np.int64)
+        found[place[np.asarray(names.indices)], column] += np.asarray(table.column("n"))
+    sums = np.array([float(totals[x]) for x in langs]) if totals else found.sum(axis=0)
+    return [keys[i] for i in order], (np.log(found + 0.5) - np.log(sums + 0.5 * len(keys) + 1)).astype("float32")
 
 
 class Scorer:
     """Scores texts against a model: words become rows of one matrix of log frequencies, summed by numpy."""
 
     def __init__(self, model: dict):
-        rows: list[np.ndarray] = [np.zeros(len(model["langs"]), "float32")]
+        parts = [np.zeros((1, len(model["langs"])), "float32")]
 
-        def numbered(table: dict) -> dict[str, int]:
-            start = len(rows)
-            rows.extend(table.values())
-            return {k: start + i for i, k in enumerate(table)}
+        def numbered(table: tuple[list[str], np.ndarray]) -> dict[str, int]:
+            start = sum(map(len, parts))
+            parts.append(table[1])
+            return {k: start + i for i, k in enumerate(table[0])}
 
         self.words = numbered(model["words"])
         self.grams = [(n, numbered(model["grams"][n])) for n in GRAMS]
-        self.rows = np.array(rows)
+        self.rows = np.concatenate(parts)
 
     def word(self, w: str) -> list[int]:
         """The rows whose mean is the word's score: its own, or those of its longest n-grams that are known by half or more."""
