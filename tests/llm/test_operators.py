@@ -47,7 +47,7 @@ def test_binary_fuse_filter(n):
     assert n < 100 or exact.may_hold(keys[n:], *held).mean() < 0.03
 
 
-def test_topk(spark, empty):
+def test_topk(spark, empty, monkeypatch):
     rng = random.Random(2)
     data = [(i, [rng.gauss(0, 1) for _ in range(13)]) for i in range(600)] + [(700, None), (800, [1.0, None]), (900, [float("nan")] * 3), (None, [1.0]), (1000, []), (1100, [0.5])]
     data += [(2000 + i, data[5][1]) for i in range(20)]
@@ -55,6 +55,9 @@ def test_topk(spark, empty):
     real = [(r["vec_id"], r["embedding"]) for r in df.collect()]
     found = topk.search(df, F.col("vec_id") % 100 == 0, block=64, query_block=4)
     assert set(rows(found, "query_id", "rank", "vec_id", "score")) == brute.topk(real)
+    monkeypatch.setattr(topk, "BROADCAST", -1)
+    joined = topk.search(df, F.col("vec_id") % 100 == 0, block=64, query_block=4)
+    assert set(rows(joined, "query_id", "rank", "vec_id", "score")) == brute.topk(real)
     assert topk.search(df.limit(0), F.lit(True)).count() == 0
 
 
@@ -328,13 +331,56 @@ def test_language_of_long_runs(spark):
     run = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
     data = [(2 * i + k, run("あいうえお" if k else "กขคงจ", 60), "ja" if k else "th") for i in range(60) for k in (0, 1)]
     model = language.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"), F.lit(True))
-    assert model["langs"] == ["ja", "th"] and all({x for k in model["grams"][n] for x in k} >= set("あกจ") for n in language.GRAMS)
+    assert model["langs"] == ["ja", "th"] and all({x for k in model["grams"][n][0] for x in k} >= set("あกจ") for n in language.GRAMS)
     docs = [(1, run("กขคงจ", 100)), (2, run("あいうえお", 100)), (3, run("あいうえお", 250) + run("กขคงจ", 900)), (4, run("กขคงจ", 250) + run("あいうえお", 900))]
     found = dict(rows(language.predict(spark.createDataFrame(docs, "doc_id long, text string"), model), "doc_id", "lang_pred"))
     assert found == {1: "th", 2: "ja", 3: "th", 4: "ja"}
     assert language.Scorer(model).chunks([docs[2][1]])[1][0] == 115
 
 
+def test_language_scores_by_definition(spark):
+    """Posteriors of short texts by counting words and n-grams in plain Python."""
+    import math
+
+    train = [(1, "the cat the dog", "en"), (2, "der hund die katze der", "de"), (3, "a cat", "en")]
+    model = language.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"), F.lit(True))
+    langs = ["de", "en"]
+    words = {x: Counter(w for _, t, lang in train if lang == x for w in t.split()) for x in langs}
+    grams = {n: {x: Counter() for x in langs} for n in language.GRAMS}
+    for x in langs:
+        for w, c in words[x].items():
+            p = f" {w} "
+            for n in language.GRAMS:
+                for i in range(max(1, len(p) - n + 1)):
+                    grams[n][x][p[i : i + n]] += c
+
+    def log(table, key, x):
+        keys = set().union(*table.values())
+        return math.log(table[x][key] + 0.5) - math.log(sum(table[x].values()) + 0.5 * len(keys) + 1)
+
+    def score(text, x):
+        total = 0.0
+        for w in text.split():
+            if any(w in words[y] for y in langs):
+                total += log(words, w, x)
+                continue
+            p = f" {w} "
+            for n in language.GRAMS:
+                own = [p[i : i + n] for i in range(max(1, len(p) - n + 1))]
+                hits = [g for g in own if any(g in grams[n][y] for y in langs)]
+                if hits and 2 * len(hits) >= len(own):
+                    total += sum(log(grams[n], g, x) for g in hits) / len(hits)
+                    break
+        return total
+
+    texts = ["the cat", "der", "cats", "hunde", "katzen dogs", "zzz", "thedog der", "xyzw cat"]
+    found = dict(rows(language.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).selectExpr("doc_id", "struct(lang_pred, score) AS x"), "doc_id", "x"))
+    for i, t in enumerate(texts):
+        s = [score(t, x) for x in langs]
+        best = s.index(max(s))
+        assert found[i]["lang_pred"] == langs[best] and found[i]["score"] == pytest.approx(1 / sum(math.exp(v - s[best]) for v in s), abs=1e-4)
+
+
 def test_pieces_round_trip(small, odd, empty):
     path = tokenizer_path("piece_bpe_32k.model")
     for df in (small, odd):

@@ -5,11 +5,12 @@ two vectors is at least sum(L * (mean difference)^2 + (deviation difference)^2),
 at most (|q|^2 + |x|^2 - that) / 2. Coarse bounds rule out most candidates, finer ones more, and exact integer
 products are computed for survivors only. Bounds carry a margin for rounding; results are exact.
 
-Queries are packed into blocks of `query_block` and candidates into blocks of `block`. Every candidate block meets
-every query block by an equi-join on (query block, salt): the number of tasks follows the data, and a task
-keeps `k` rows a query at most. Nothing is broadcast and no pair of rows is shuffled.
+Queries are packed into blocks of `query_block` and candidates into blocks of `block`. While the queries' vectors
+are few (counted: BROADCAST bytes) they are broadcast and candidates are searched where they are read, so no vector is
+shuffled. Beyond that every candidate block meets every query block by an equi-join on (query block, salt). Either way the number of
+tasks follows the data, a task keeps `k` rows a query at most and no pair of rows is shuffled.
 
-Defined cases: vectors that are null or hold a null or non-finite component, and rows without an id, take no part;
+Defined cases: vectors that are null or hold a null or non-finite component (before or after scaling), and rows without an id, take no part; products beyond 64 bits count as the largest;
 missing components of shorter vectors count as zero; a candidate with the query's own id is its own row; queries
 repeated as rows count once, repeated candidates each; fewer than k candidates give fewer rows; ties go to
 the smaller id; an empty table gives an empty result; extra columns are ignored.
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from weftline.llm.common import written
 
 SEGMENTS = (4, 16)
+#: Bytes of queries that are broadcast at most.
+BROADCAST = 64 << 20
 _BLOCK = "n int, dim int, ids binary, values binary"
 
 
@@ -34,39 +37,44 @@ def scaled(values: np.ndarray) -> np.ndarray:
     return np.floor(1024.0 * values.astype(np.float64))
 
 
+def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Usable vectors of batches (vec_id, embedding) as rows (n, dim, ids, values) of at most `size` vectors each."""
+    ids: list[int] = []
+    vectors: list[np.ndarray] = []
+
+    def block() -> pa.RecordBatch:
+        dim = max(map(len, vectors))
+        table = np.zeros((len(vectors), dim))
+        for i, v in enumerate(vectors):
+            table[i, : len(v)] = v
+        out = pa.RecordBatch.from_pydict({"n": pa.array([len(ids)], pa.int32()), "dim": pa.array([dim], pa.int32()), "ids": [np.array(ids, np.int64).tobytes()], "values": [table.tobytes()]})
+        ids.clear()
+        vectors.clear()
+        return out
+
+    for batch in batches:
+        column = batch.column("embedding")
+        for i, vec_id in enumerate(batch.column("vec_id").to_pylist()):
+            item = column[i]
+            if vec_id is None or not item.is_valid or item.values.null_count:
+                continue
+            v = scaled(item.values.to_numpy(zero_copy_only=False))
+            if np.isfinite(v).all():
+                ids.append(vec_id)
+                vectors.append(v)
+                if len(ids) >= size:
+                    yield block()
+    if ids:
+        yield block()
+
+
+def _usable(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("vec_id").cast("long"), "embedding")
+
+
 def packed(rows: DataFrame, size: int) -> DataFrame:
     """(n, dim, ids, values): rows (vec_id, embedding) in blocks of at most `size`; only usable vectors."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        vectors: list[np.ndarray] = []
-
-        def block() -> pa.RecordBatch:
-            dim = max(map(len, vectors))
-            table = np.zeros((len(vectors), dim))
-            for i, v in enumerate(vectors):
-                table[i, : len(v)] = v
-            out = pa.RecordBatch.from_pydict({"n": pa.array([len(ids)], pa.int32()), "dim": pa.array([dim], pa.int32()), "ids": [np.array(ids, np.int64).tobytes()], "values": [table.tobytes()]})
-            ids.clear()
-            vectors.clear()
-            return out
-
-        for batch in batches:
-            column = batch.column("embedding")
-            for i, vec_id in enumerate(batch.column("vec_id").to_pylist()):
-                item = column[i]
-                if vec_id is None or not item.is_valid or item.values.null_count:
-                    continue
-                v = scaled(item.values.to_numpy(zero_copy_only=False))
-                if np.isfinite(v).all():
-                    ids.append(vec_id)
-                    vectors.append(v)
-                    if len(ids) >= size:
-                        yield block()
-        if ids:
-            yield block()
-
-    return rows.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, _BLOCK)
+    return _usable(rows).mapInArrow(lambda batches: blocks(batches, size), _BLOCK)
 
 
 class Level:
@@ -145,31 +153,47 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, block: int = 4096,
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chosen = vectors.where(is_query).select("vec_id", "embedding").distinct()
     queries = written(packed(chosen.repartition(max(1, -(-chosen.count() // query_block))), query_block).withColumn("row", F.monotonically_increasing_id()), "topk-queries")
-    numbered = queries.select("row", (F.row_number().over(Window.orderBy("row")) - 1).alias("qb"))
     n_blocks = queries.count()
     if not n_blocks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    asked = queries.join(numbered, "row").select("qb", spread.alias("salt"), F.struct("n", "dim", "ids", "values").alias("q"))
-    blocks = packed(vectors, block).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
-    met = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("qb"), "salt", F.struct("n", "dim", "ids", "values").alias("x")).join(asked, ["qb", "salt"])
-
     def read(b: dict) -> tuple[np.ndarray, np.ndarray]:
         return np.frombuffer(b["ids"], np.int64), np.frombuffer(b["values"], np.float64).reshape(b["n"], b["dim"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, best = None, None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                key = batch.column("qb")[i].as_py()
-                if key != at:
-                    if best:
-                        yield best.batch()
-                    at, best = key, Best(*read(batch.column("q")[i].as_py()), k)
-                best.add(*read(batch.column("x")[i].as_py()))
-        if best:
-            yield best.batch()
-
-    found = met.select("qb", "q", "x").sortWithinPartitions("qb").mapInArrow(run, "query_id long, vec_id long, score long")
+    schema = "query_id long, vec_id long, score long"
+    size = queries.agg(F.sum(F.octet_length("values") + F.octet_length("ids")).alias("n")).first()["n"]
+    if size <= BROADCAST:
+        shipped = spark.sparkContext.broadcast([r.asDict() for r in queries.select("n", "dim", "ids", "values").collect()])
+
+        def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = [Best(*read(b), k) for b in shipped.value]
+            for packed_ in blocks(batches, block):
+                x = read(packed_.to_pylist()[0])
+                for own in best:
+                    own.add(*x)
+            for own in best:
+                yield own.batch()
+
+        found = _usable(vectors).mapInArrow(sweep, schema)
+    else:
+        spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+        numbered = queries.select("row", (F.row_number().over(Window.orderBy("row")) - 1).alias("qb"))
+        asked = queries.join(numbered, "row").select("qb", spread.alias("salt"), F.struct("n", "dim", "ids", "values").alias("q"))
+        dealt = packed(vectors, block).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
+        met = dealt.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("qb"), "salt", F.struct("n", "dim", "ids", "values").alias("x")).join(asked, ["qb", "salt"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, best = None, None
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    key = batch.column("qb")[i].as_py()
+                    if key != at:
+                        if best:
+                            yield best.batch()
+                        at, best = key, Best(*read(batch.column("q")[i].as_py()), k)
+                    best.add(*read(batch.column("x")[i].as_py()))
+            if best:
+                yield best.batch()
+
+        found = met.select("qb", "q", "x").sortWithinPartitions("qb").mapInArrow(run, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
