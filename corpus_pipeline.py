@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 next one's docs. All but the last return the columns of documents.
+
+Defined cases: null, empty and blank texts are not toxic; of all of them one stays (they are equal without white space), which
+has no near copies, takes no words in the mixture and so ends there; rows with a null doc_id go through like others; of rows alike in
+doc_id and text one stays; an empty table gives an empty result with the same columns; extra columns are kept to the end. A document that
+the mixture takes in several passes is a row for each, with one and the same sampled segmentation, as pieces are keyed by doc_id.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import exact, mixing, near, pieces, toxicity
-from weftline.llm.common import written
+from weftline.llm.common import new_path, scope
 from weftline.llm.queries import tokenizer_path
 
 
@@ -56,7 +61,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = new_path(spark, f"pipeline-{name}")
+        with scope(spark):  # a stage's own tables go once its result is written
+            docs_after = stage(spark, docs, sf_dir)
+            docs_after.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(docs_after.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

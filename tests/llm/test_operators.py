@@ -493,3 +493,39 @@ def test_clashing_names(spark, odd):
     assert {"__id", "size"} <= set(pieces.encode(wide, tokenizer_path("piece_bpe_32k.model")).columns)
     for found in (exact.dedup(wide), substrings.dedup(wide), mixing.mix(wide), secrets.scan(wide), simhash.groups(wide), language.identify(wide)):
         assert found.count() == wide.count()
+
+
+def test_near_duplicates_of_templates(spark):
+    """Families of one template: variants too far apart to link, each with a near copy; kept ids equal those of all pairs."""
+    rng = random.Random(21)
+    texts: dict[int, str] = {}
+    for family in range(2):
+        base = [f"t{family}w{k}" for k in range(300)]
+        for _ in range(300):
+            words = list(base)
+            for at in rng.sample(range(300), rng.randrange(8, 20)):
+                words[at] = f"v{rng.randrange(10**6)}"
+            copy = list(words)
+            for at in rng.sample(range(300), 5):
+                copy[at] = f"c{rng.randrange(10**6)}"
+            for x in (words, copy):
+                texts[len(texts)] = " ".join(x)
+    sets = [near.shingles(texts[i], 5) for i in texts]
+    _, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    shared = counts[at] > 1
+    held = np.zeros((len(sets), int((counts > 1).sum())), np.float32)
+    held[owner[shared], (np.cumsum(counts > 1) - 1)[at[shared]]] = 1
+    both, size = held @ held.T, np.array([len(x) for x in sets])
+    root = list(range(len(sets)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    linked = np.argwhere(np.triu(both >= 0.8 * (size[:, None] + size[None, :] - both), 1))
+    for i, j in linked.tolist():
+        p, q = sorted((find(i), find(j)))
+        root[q] = p
+    assert len(linked) > 500
+    kept = {r["doc_id"] for r in near.keep_one(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert kept == {i for i in texts if find(i) == i}

@@ -26,3 +26,14 @@ def test_stages(spark):
     assert not any(brute.jaccard(t, u) >= 0.8 for i, t in after.items() for j, u in after.items() if j < i)
     assert all(r["lossless"] for r in docs.collect())
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
+
+
+def test_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    labels = spark.createDataFrame([(7, 1, 0), (None, None, None), (19, 0, 1)], "doc_id long, quality int, toxic int")
+    for name, table in (("odd", odd), ("empty", empty)):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+        found = corpus_pipeline.run(spark, str(tmp_path / name))
+        assert {"doc_id", "label", "pieces", "lossless"} <= set(found.columns)
+        ids = {r["doc_id"] for r in found.collect()}
+        assert ids == (set() if name == "empty" else ids) and 19 not in ids and (name == "empty" or {1, 7, 14, 15, None} <= ids and not {2, 3, 4, 5, 8, 20} & ids)

@@ -91,9 +91,7 @@ class Encoder:
         if ids is None:
             model = self.tokenizer.model
             ids = [t.id for t in model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes))]
-            if len(self.known) >= self.keep:
-                self.known.clear()
-            self.known[word] = ids
+            self._keep(word, ids)
         return ids
 
     def words(self, words: list[str]) -> list:
@@ -101,18 +99,26 @@ class Encoder:
         out: list = [None] * len(words)
         rest = []
         for i, w in enumerate(words):
-            if w.isascii():
-                w = w.lower()
-            if self.plain(w):
-                out[i] = self._letters(w)
-            elif m := self.tail(w):
-                out[i] = self._letters(m[1]) + self._whole(m[2])
-            else:
-                rest.append(i)
+            ids = self.known.get(w)
+            if ids is None:
+                low = w.lower() if w.isascii() else w
+                if self.plain(low):
+                    ids = self._letters(low)
+                elif m := self.tail(low):
+                    ids = self._letters(m[1]) + self._whole(m[2])
+                else:
+                    rest.append(i)
+                    continue
+            out[i] = ids
         for i, ids in zip(rest, self._batch([words[i] for i in rest]), strict=True):
             out[i] = ids
         return out
 
+    def _keep(self, word: str, ids: list[int]) -> None:
+        if len(self.known) >= self.keep:
+            self.known.clear()
+        self.known[word] = ids
+
     def _batch(self, texts: list[str], size: int = 4096) -> Iterator[list[int]]:
         for k in range(0, len(texts), size):
             for e in self.tokenizer.encode_batch_fast(texts[k : k + size], add_special_tokens=False):
@@ -121,7 +127,8 @@ class Encoder:
     def _whole(self, text: str) -> list[int]:
         ids = self.known.get(text)
         if ids is None:
-            ids = self.known[text] = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            self._keep(text, ids)
         return ids
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
