@@ -12,7 +12,8 @@ text writer commits them (its line end is the format's closing magic number, so
 nothing else); a lost executor's task is written again. Any store that Spark reads will do.
 
 Where a tokenizer's steps are those of SHAPE, white space always ends a word, so a batch's distinct words are encoded once and ids
-gathered by position; texts that hold an added token's letters in any case, and all texts of other tokenizers, go to the library whole.
+gathered by position; texts that hold an added token's letters in any case or a capital before a combining mark, and all texts of other
+tokenizers, go to the library whole.
 
 Defined cases: null text counts as empty and has the end id only; rows alike in doc_id stand in the order of
 their texts, nulls first; a null doc_id sorts first; an empty table gives an empty result; extra columns are
@@ -67,9 +68,9 @@ SHAPE = {
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library (spec: a tokenizer's JSON), a distinct word at a time; keeps at most `keep` words' ids."""
+    """Ids of texts by the tokenizers library (spec: a tokenizer's JSON), a distinct word at a time; keeps words' ids, from a batch to the next while they are fewer than `keep`."""
 
-    def __init__(self, spec: str, keep: int = 250_000):
+    def __init__(self, spec: str, keep: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -79,9 +80,10 @@ class Encoder:
         added = spec.get("added_tokens") or []
         self.by_word = all(spec.get(k) == v for k, v in SHAPE.items()) and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and all(t["content"].isascii() and not t["normalized"] for t in added)
         self.added = [t["content"].lower() for t in added]
-        # Words of lower-case letters that no step of the pipeline changes or cuts go to the model straight away.
-        self.plain = re.compile("[a-zà-öø-ÿ]+").fullmatch
-        self.tail = re.compile("([a-zà-öø-ÿ]+)([.,!?;:]+)").fullmatch
+        # Words of letters that no step of the pipeline cuts, or changes but for their case, go to the model straight away; so do they before ASCII punctuation other than an apostrophe.
+        letters = "[a-zÀ-ÖØ-öø-ÿ]+"
+        self.plain = re.compile(letters).fullmatch
+        self.tail = re.compile(rf"({letters})([!-&(-/:-@\[-`{{-~]+)").fullmatch
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.bytes = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
@@ -89,36 +91,31 @@ class Encoder:
     def _letters(self, word: str) -> list[int]:
         ids = self.known.get(word)
         if ids is None:
-            model = self.tokenizer.model
-            ids = [t.id for t in model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes))]
-            self._keep(word, ids)
+            ids = self.known[word] = [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes))]
         return ids
 
     def words(self, words: list[str]) -> list:
-        """The ids of each word; only ASCII words are lower-cased here, as letters before combining marks compose differently by case."""
-        out: list = [None] * len(words)
-        rest = []
+        """The ids of each word."""
+        known = self.known
+        if len(known) >= self.keep:
+            known.clear()
+        out = list(map(known.get, words))
+        tokenize, rest = self.tokenizer.model.tokenize, []
         for i, w in enumerate(words):
-            ids = self.known.get(w)
-            if ids is None:
-                low = w.lower() if w.isascii() else w
-                if self.plain(low):
-                    ids = self._letters(low)
-                elif m := self.tail(low):
-                    ids = self._letters(m[1]) + self._whole(m[2])
-                else:
-                    rest.append(i)
-                    continue
-            out[i] = ids
+            if out[i] is not None:
+                continue
+            if w.isascii() and w.isalpha() and w.islower():
+                out[i] = known[w] = [t.id for t in tokenize(w)]
+            elif self.plain(w):
+                out[i] = self._letters(w.lower())
+            elif m := self.tail(w):
+                out[i] = self._letters(m[1].lower()) + self._whole(m[2])
+            else:
+                rest.append(i)
         for i, ids in zip(rest, self._batch([words[i] for i in rest]), strict=True):
             out[i] = ids
         return out
 
-    def _keep(self, word: str, ids: list[int]) -> None:
-        if len(self.known) >= self.keep:
-            self.known.clear()
-        self.known[word] = ids
-
     def _batch(self, texts: list[str], size: int = 4096) -> Iterator[list[int]]:
         for k in range(0, len(texts), size):
             for e in self.tokenizer.encode_batch_fast(texts[k : k + size], add_special_tokens=False):
@@ -127,8 +124,7 @@ class Encoder:
     def _whole(self, text: str) -> list[int]:
         ids = self.known.get(text)
         if ids is None:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            self._keep(text, ids)
+            ids = self.known[text] = self.tokenizer.encode(text, add_special_tokens=False).ids
         return ids
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -137,12 +133,13 @@ class Encoder:
         if not self.by_word:
             return _joined([np.array(ids, np.uint32) for ids in self._batch(texts.to_pylist(), 64)])
         low = pc.ascii_lower(texts)
-        held = np.zeros(len(texts), bool)
+        # Capitals before combining marks may compose otherwise than small letters, so they are not lower-cased ahead of the library.
+        held = np.asarray(pc.match_substring_regex(texts, r"[A-Z]\p{M}"))
         for token in self.added:
-            held |= np.asarray(pc.match_substring(low, token))
+            held = held | np.asarray(pc.match_substring(low, token))
         if not held.any():
-            return self._by_word(texts)
-        ids, ends = self._by_word(pc.if_else(pa.array(held), "", texts))
+            return self._by_word(low)
+        ids, ends = self._by_word(pc.if_else(pa.array(held), "", low))
         parts = np.split(ids, ends[:-1])
         at = np.flatnonzero(held).tolist()
         for i, own in zip(at, self._batch([texts[i].as_py() for i in at], 64), strict=True):
@@ -248,7 +245,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, maker = Encoder(spec.value), FileMaker()
         end = np.array([end_id], np.uint32)
-        for batch in slices(batches, "text", 6 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             ids, ends = encoder.texts(batch.column("text"))
             start = 0
             for doc_id, stop in zip(batch.column("doc_id").to_pylist(), ends.tolist(), strict=True):
