@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,6 +37,13 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
     return remainder(doc_id) == 1
 
 
+def released() -> None:
+    """Gives memory that is no longer used back to the system: Spark keeps Python workers between stages, beside the next stage's own."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches that hold at most `limit` bytes of `column` (one row at least), so memory follows neither row counts nor mean lengths."""
     for batch in batches:
@@ -47,3 +56,5 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
             total += n
         if start < batch.num_rows:
             yield batch.slice(start)
+        del batch
+        released()

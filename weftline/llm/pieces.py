@@ -91,7 +91,7 @@ class Sampler:
             at = at[np.argsort(keys[at])]
             likely = np.zeros(1 << _FILTER, bool)
             likely[keys[at] >> np.uint64(64 - _FILTER)] = True
-            self.by_length[int(n)] = (keys[at], at, likely)
+            self.by_length[int(n)] = (keys[at], at.astype(np.int32), likely)
         self.weights = np.array(vocabulary["weights"], np.float64) * (1.0 if np.isinf(alpha) else alpha)
         self.least = self.weights.min(initial=0.0) - 5.0
         self.ids = np.array(vocabulary["ids"], np.int32)
@@ -103,8 +103,8 @@ class Sampler:
         stops = np.cumsum(sizes)
         first = stops - sizes + np.arange(len(words))  # nodes: one more than characters in each word
         last = first + sizes
-        node = np.arange(len(joined)) + np.repeat(np.arange(len(words)), sizes)
-        room = np.repeat(stops, sizes) - np.arange(len(joined))
+        node = (np.arange(len(joined)) + np.repeat(np.arange(len(words)), sizes)).astype(np.int32)
+        room = (np.repeat(stops, sizes) - np.arange(len(joined))).astype(np.int32)
         up, down = _powers(len(joined))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_scattered(joined) * up)])
         starts, ends, piece = [], [], []
@@ -123,7 +123,7 @@ class Sampler:
             ends.append(starts[-1] + n)
             piece.append(at[hit[ok]])
         odd = np.flatnonzero(~single)
-        starts, ends, piece = np.concatenate([*starts, node[odd]]), np.concatenate([*ends, node[odd] + 1]), np.concatenate([*piece, np.full(len(odd), -1)])
+        starts, ends, piece = np.concatenate([*starts, node[odd]]), np.concatenate([*ends, node[odd] + 1]), np.concatenate([*piece, np.full(len(odd), -1, np.int32)])
         code = np.zeros(len(starts), np.uint32)
         code[len(starts) - len(odd) :] = joined[odd]
         order = np.argsort(ends, kind="stable")  # a merge of one run for each length
@@ -264,7 +264,7 @@ def encode(docs: DataFrame, path: str, alpha: float = 1.0, seed: int = 0, key: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, decoder = Sampler(shipped.value, alpha, seed), Decoder(shipped.value)
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             texts = batch.column("text").to_pylist()
             ids, stops = sampler.texts(texts, [row_key(k) for k in batch.column(key).to_pylist()])
             offsets = np.concatenate([[0], stops])
