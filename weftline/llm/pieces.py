@@ -38,6 +38,8 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD1342543DE82EF95)
 #: Bits of a key that say whether a piece may have it, before the keys themselves are searched.
 _FILTER = 20
+#: Characters whose lattices are built together.
+CHUNK = 1 << 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -98,6 +100,23 @@ class Sampler:
 
     def lattice(self, words: list[str]) -> tuple:
         """Edges of all words' lattices, sorted by end node, long pieces first: (end, start, piece or -1, cumulative posterior in units of 2^-32, code), and each word's first and last node."""
+        parts, node, n = [], 0, 0
+        for stop in self._chunks(words):
+            starts, ends, piece, share, code, first, last = self._lattice(words[n:stop])
+            parts.append((starts + node, ends + node, piece, share, code, first + node, last + node))
+            node, n = node + int(last[-1]) + 1, stop
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _chunks(self, words: list[str]) -> Iterator[int]:
+        """Ends of runs of words of about CHUNK characters: what a lattice needs while it is built follows them."""
+        held = 0
+        for i, w in enumerate(words, 1):
+            held += len(w)
+            if held >= CHUNK or i == len(words):
+                yield i
+                held = 0
+
+    def _lattice(self, words: list[str]) -> tuple:
         joined = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         stops = np.cumsum(sizes)
