@@ -151,14 +151,17 @@ class Encoder:
         flat = chunks.flatten().dictionary_encode()
         names = flat.dictionary.to_pylist()
         table = self.words(names)
-        sizes = np.fromiter(map(len, table), np.int64, len(table))
-        starts = np.concatenate([[0], np.cumsum(sizes)])
+        sizes = np.fromiter(map(len, table), np.int32, len(table))
+        starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         pool = np.fromiter(chain.from_iterable(table), np.uint32, int(starts[-1]))
-        codes = np.asarray(flat.indices).astype(np.int64) if len(flat) else np.zeros(0, np.int64)
-        n = sizes[codes] if len(codes) else np.zeros(0, np.int64)
-        ends = np.cumsum(n)
+        del names, table
+        codes = np.asarray(flat.indices) if len(flat) else np.zeros(0, np.int32)
+        n = sizes[codes] if len(codes) else np.zeros(0, np.int32)
+        ends = np.cumsum(n, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total) - np.repeat(ends - n, n) + np.repeat(starts[codes], n) if total else np.zeros(0, np.int64)
+        at = np.arange(total, dtype=np.int64 if total >= 2**31 else np.int32)
+        if total:
+            at += np.repeat((starts[codes] - (ends - n)).astype(at.dtype), n)
         words = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(chunks)).astype(np.int64))])
         by_word = np.concatenate([[0], ends])
         return pool[at], by_word[words[1:]]
@@ -171,7 +174,7 @@ def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 class FileMaker:
     """Builds one file: documents in, bytes without the closing magic number out."""
 
-    def __init__(self, level: int = 3):
+    def __init__(self, level: int = 1):
         self.packer = zstandard.ZstdCompressor(level=level, write_content_size=True)
         self.frames, self.seek, self.index, self.open, self.held, self.ids = [], [], [], [], 0, 0
 
@@ -245,7 +248,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, maker = Encoder(spec.value), FileMaker()
         end = np.array([end_id], np.uint32)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 8 << 20):
             ids, ends = encoder.texts(batch.column("text"))
             start = 0
             for doc_id, stop in zip(batch.column("doc_id").to_pylist(), ends.tolist(), strict=True):
