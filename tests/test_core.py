@@ -73,6 +73,7 @@ def test_korean(spark):
     assert one(spark, T.has_final_consonant, "강") and not one(spark, T.has_final_consonant, "나")
     assert one(spark, T.hangul_only, "가 a나1!") == "가 나" and one(spark, lambda c: T.hangul_only(c, True, True), "가a1!") == "가a1"
     table = {"大": "대", "韓": "한", "民": "민", "女": "녀", "子": "자"}
+    assert [hangul.initial_sound(*x) for x in (("녀",), ("냐",), ("니",), ("려",), ("래",), ("렉",), ("략",), ("렬", "나"), ("률", "백"), ("률", "선"), ("녀", "남"), ("가",), ("a",))] == ["여", "냐", "이", "여", "내", "렉", "약", "열", "률", "률", "녀", "가", "a"]
     assert hangul.read_hanja("大韓 女子", table) == "대한 여자" and hangul.read_hanja("大", table, "combination-text") == "大(대)"
     assert hangul.fix_laughter("핰ㅋㅋㅋㅋ") == "하ㅋㅋ"
     assert hangul.split_sentences("안녕하세요. 저는 “갑니다. 네” 라고 했다. Hello there. Bye") == ["안녕하세요.", "저는 “갑니다. 네” 라고 했다.", "Hello there.", "Bye"]

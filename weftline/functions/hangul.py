@@ -28,16 +28,22 @@ def compose(lead: str, vowel: str, tail: str = "") -> str:
     return chr(BASE + _LEAD.index(lead) * 588 + _VOWEL.index(vowel) * 28 + _TAIL.index(tail))
 
 
-def initial_sound(c: str) -> str:
-    """The initial-sound rule: ㄹ and ㄴ at a word's start become ㄴ or ㅇ by the vowel."""
+def initial_sound(c: str, before: str = "") -> str:
+    """The initial-sound rule for a syllable, given the character before it.
+
+    At a word's start ㄴ falls to ㅇ before ㅕ ㅛ ㅠ ㅣ, ㄹ to ㅇ before ㅑ ㅕ ㅖ ㅛ ㅠ ㅣ and to ㄴ before ㅏ ㅐ ㅗ ㅚ ㅜ ㅡ. After a letter or digit only
+    렬 and 률 change, and only where the syllable before has no tail or ends in ㄴ (taken as its tail's second place, ㄲ, in the table of tails).
+    """
     parts = decompose(c)
     if parts is None:
         return c
     lead, vowel, tail = parts
-    soft = vowel in "ㅑㅕㅖㅛㅠㅣ"
-    if lead == "ㄹ":
-        return compose("ㅇ" if soft else "ㄴ", vowel, tail)
-    return compose("ㅇ", vowel, tail) if lead == "ㄴ" and soft and vowel != "ㅣ" or lead == "ㄴ" and vowel in "ㅕㅛㅠㅣ" else c
+    if before.isalnum():
+        open_ = is_syllable(before) and (ord(before) - BASE) % 28 in (0, 2)
+        return compose("ㅇ", vowel, tail) if c in "렬률" and open_ else c
+    if lead == "ㄴ" and vowel in "ㅕㅛㅠㅣ" or lead == "ㄹ" and vowel in "ㅑㅕㅖㅛㅠㅣ":
+        return compose("ㅇ", vowel, tail)
+    return compose("ㄴ", vowel, tail) if lead == "ㄹ" and vowel in "ㅏㅐㅗㅚㅜㅡ" else c
 
 
 def read_hanja(text: str, table: dict[str, str], mode: str = "substitution") -> str:
@@ -45,8 +51,10 @@ def read_hanja(text: str, table: dict[str, str], mode: str = "substitution") ->
 
     def one(m: re.Match) -> str:
         run = m[0]
-        start = m.start() == 0 or not is_syllable(text[m.start() - 1])
-        sound = "".join(initial_sound(table.get(c, c)) if i == 0 and start else table.get(c, c) for i, c in enumerate(run))
+        before, sound = text[m.start() - 1] if m.start() else "", ""
+        for c in run:
+            before = initial_sound(table.get(c, c), before)
+            sound += before
         return {"substitution": sound, "combination-text": f"{run}({sound})", "combination-text-reversed": f"{sound}({run})", "combination-html": f'<span class="hanja">{run}</span><span class="hangul">({sound})</span>'}[mode]
 
     known = "".join(map(re.escape, table))

@@ -34,10 +34,13 @@ def replace_all(c: Column, patterns: dict[str, str]) -> Column:
 
 # Normalisation, in the order in which `normalize` applies it.
 
-CONTROL = "".join(map(chr, [*range(0, 9), 14, 15, *range(16, 28), 127, *range(128, 133), *range(134, 160)]))
-HYPHENS = "‐‑‒–—―⁃−⁻₋﹣－"
-SINGLE_QUOTES, DOUBLE_QUOTES = "‘’‚‛´`′＇", "“”„‟«»＂"
-SLASHES, TILDES = "⁄∕／", "˜∼～〜∽"
+# The characters that each step maps.
+CONTROL = "\x01\x02\x03\x04\x05\x06\x07\x08\x0e\x0f\x11\x12\x13\x14\x15\x16\x17\x18\x19\x1a\x1b"
+HYPHENS = "‐‑⁃‒–—―−－⁻"
+SINGLE_QUOTES, DOUBLE_QUOTES = "‘’‚‛՚Ꞌꞌ＇`´′‵", "“”„‟"
+#: Primes of several strokes, and how many.
+PRIMES = {"″": 2, "‶": 2, "‴": 3, "‷": 3, "⁗": 4}
+SLASHES, TILDES = "⁄∕", "˜⁓∼∽∿〜～"
 
 
 def _to(chars: str, target: str) -> Callable[[Column], Column]:
@@ -56,8 +59,9 @@ def fix_hyphens(c: Column) -> Column:
 
 
 def uncurl_quotes(c: Column) -> Column:
-    """Quotes, accents and primes become ASCII; a double prime becomes two single quotes."""
-    return F.replace(F.translate(c, SINGLE_QUOTES + DOUBLE_QUOTES, "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES)), F.lit("″"), F.lit("''"))
+    """Quotes, accents and primes become ASCII; a prime of several strokes becomes as many single quotes."""
+    plain = F.translate(c, SINGLE_QUOTES + DOUBLE_QUOTES, "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES))
+    return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit("'" * p[1])), PRIMES.items(), plain)
 
 
 def fix_ellipsis(c: Column) -> Column:
@@ -239,11 +243,11 @@ LENGTHS: dict[str, Callable[[Column], Column]] = {
 
 
 def human_bytes(c: Column) -> Column:
-    """Binary units, two decimals."""
+    """Binary units, two decimals, ties to the even digit."""
     units = ["bytes", "KiB", "MiB", "GiB", "TiB", "PiB"]
     out = F.concat(c.cast("string"), F.lit(" bytes"))
     for i in range(1, len(units)):
-        out = F.when(c >= 1024**i, F.format_string(f"%.2f {units[i]}", c / F.lit(float(1024**i)))).otherwise(out)
+        out = F.when(c >= 1024**i, F.format_string(f"%.2f {units[i]}", F.bround(c / F.lit(float(1024**i)), 2))).otherwise(out)
     return out
 
 

@@ -9,6 +9,10 @@ from weftline.operators.relational import reset_index
 from weftline.plans.registry import op
 
 
+#: Rows up to which a sample is gathered in one task.
+SMALL = 100_000
+
+
 def shuffled(key: str, seed: int = 1) -> Column:
     """A column whose order is a reproducible shuffle of the key."""
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary"))
@@ -20,9 +24,11 @@ def _n(count: Column, n: int | None, frac: float | None) -> Column:
 
 @op("sampling")
 def sampling(df: DataFrame, key: str, n: int | None = None, frac: float | None = None, groupby: str | None = None, seed: int = 1) -> DataFrame:
-    """n rows, or a fraction, of all rows or of each group: those first in hash order. Only keys and hashes are ranked."""
+    """n rows, or a fraction, of all rows or of each group: those first in hash order. Without groups, up to SMALL rows are the top of a partial sort; more are ranked by range, so no task holds them all."""
     if groupby is None:
         size = n if n is not None else round(df.count() * frac)
+        if size > SMALL:
+            return _ranked(df, shuffled(key, seed), F.col(key)).where(F.col("__rank") < size).drop("__rank")
         return df.orderBy(shuffled(key, seed), key).limit(size)
     rank = F.row_number().over(Window.partitionBy(groupby).orderBy(shuffled(key, seed), key))
     if n is not None:

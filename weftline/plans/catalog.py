@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from weftline.plans import core_queries  # noqa: F401
+    from weftline.plans import core_queries, more_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

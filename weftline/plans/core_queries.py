@@ -29,9 +29,8 @@ from weftline.plans.registry import Pipeline
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Load, fill nulls, keep texts of 30 bytes or more, drop repeated texts, join labels, roll up by language."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").fillna("", ["text", "lang"])
-    docs = docs.where(F.octet_length("text") >= 30)
-    first = F.row_number().over(Window.partitionBy("text").orderBy("doc_id"))
-    kept = docs.withColumn("rn", first).where("rn = 1").select("doc_id", "lang", F.octet_length("text").alias("bytes"))
+    docs = docs.where(F.octet_length("text") >= 30).select("doc_id", "lang", F.octet_length("text").alias("bytes"), F.sha2("text", 256).alias("digest"))
+    kept = relational.drop_duplicates(docs, "digest", "doc_id").drop("digest")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id"), F.col("doc_id").alias("labelled"), "toxic")
     return kept.join(labels, "doc_id", "left").groupBy("lang").agg(
         F.count(F.lit(1)).alias("n_docs"),
@@ -220,10 +219,10 @@ def j08(spark, d):
     return joins.asof_join(o, o.select("o_custkey", "o_orderdate"), "o_orderdate", [], "o_custkey", "forward", offset="2 DAYS").select("o_orderkey", "o_orderdate_asof")
 
 
-@query("j10_upsert", "SELECT coalesce(a.k, b.k) AS k, coalesce(a.bal, b.bal) AS bal FROM (SELECT c_custkey AS k, c_acctbal AS bal FROM customer WHERE c_custkey % 2 = 0) a FULL JOIN (SELECT s_suppkey AS k, s_acctbal AS bal FROM supplier) b ON a.k = b.k")
+@query("j10_upsert", "SELECT coalesce(a.k, b.k) AS k, coalesce(a.bal, b.bal) AS bal FROM (SELECT s_suppkey AS k, s_acctbal AS bal FROM supplier) a FULL JOIN (SELECT c_custkey AS k, c_acctbal AS bal FROM customer) b ON a.k = b.k")
 def j10(spark, d):
-    a = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("bal"))
-    return joins.upsert(a, table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("bal")), "k")
+    a = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("bal"))
+    return joins.upsert(a, table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("bal")), "k")
 
 
 @query("j11_anti_join", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
@@ -516,7 +515,7 @@ def b01(spark, d):
     from weftline.operators import subword
 
     df = table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
-    ranks = {p: i for i, p in enumerate(subword.train_bpe(subword.word_counts(df, max_words=2000), 200))}
+    ranks = {p: i for i, p in enumerate(subword.train_bpe(subword.word_counts(df), 200))}
     return df.select("doc_id", F.size(subword.encode(F.col("text"), lambda w: subword.bpe_word(w, ranks))).alias("n_pieces"))
 
 
@@ -534,7 +533,7 @@ def b06(spark, d):
     from weftline.operators import subword
 
     df = table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
-    scores = subword.branching_scores(subword.word_counts(df, max_words=2000))
+    scores = subword.branching_scores(subword.word_counts(df))
     return df.select("doc_id", F.size(subword.encode(F.col("text"), lambda w: subword.branching_word(w, scores))).alias("n_pieces"))
 
 
@@ -570,7 +569,12 @@ def m14(spark, d):
     return ml.impulse_response(daily.withColumn("o", F.concat_ws("-", F.col("day").cast("string"), F.lpad(F.col("hour").cast("string"), 2, "0"))), ["a", "b"], "o", 2, 5)
 
 
-@query("decontaminate_benchmark", None)
+@query("decontaminate_benchmark", """WITH d AS (SELECT doc_id, list_filter(str_split_regex(lower(text), '\\s+'), lambda w: w <> '') AS t FROM documents),
+    b AS (SELECT list_filter(str_split_regex(lower(text), '\\s+'), lambda w: w <> '') AS t FROM benchmark),
+    r AS MATERIALIZED (SELECT DISTINCT unnest(list_transform(range(1, len(t) - 6), lambda i: array_to_string(t[i:i+7], chr(1)))) AS run FROM b),
+    g AS (SELECT doc_id, unnest(list_transform(range(1, len(t) - 6), lambda i: array_to_string(t[i:i+7], chr(1)))) AS run FROM d),
+    h AS (SELECT DISTINCT doc_id FROM g JOIN r USING (run))
+    SELECT doc_id, doc_id IN (SELECT doc_id FROM h) AS overlap FROM documents""")
 def decontaminate(spark, d):
     tokens = lambda df, i: df.select(i, F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("tokens"))
     return dedup.decontaminate(tokens(table(spark, d, "documents"), "doc_id"), tokens(table(spark, d, "benchmark"), "item_id"), "tokens", "tokens", 8).select("doc_id", "overlap")
