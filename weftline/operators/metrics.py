@@ -46,13 +46,16 @@ def token_f1(a: Column, b: Column) -> Column:
 
 @op("correlations")
 def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: Pearson, and Spearman from average ranks; ranks are taken over distinct values' counts."""
+    """One row: Pearson, and Spearman from average ranks; ranks are taken over distinct values' counts, dealt by range so that no task holds all values. Rows with a null in either are left out."""
     rows = df.dropna(subset=[x, y])
 
     def ranks(c: str, into: str) -> DataFrame:
-        counts = rows.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        upto = F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        return counts.select(c, (upto - (F.col("n") - 1) / 2).alias(into))
+        counts = rows.groupBy(c).agg(F.count(F.lit(1)).alias("n")).repartitionByRange(c).withColumn("__part", F.spark_partition_id())
+        counts = written(counts, "value-counts")
+        earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+        before = counts.groupBy("__part").agg(F.sum("n").alias("s")).select("__part", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("before"))
+        inside = F.sum("n").over(Window.partitionBy("__part").orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
+        return counts.withColumn("inside", inside).join(before, "__part").select(c, (F.col("before") + F.col("inside") - (F.col("n") - 1) / 2).alias(into))
 
     ranked = rows.join(ranks(x, "__rx"), x).join(ranks(y, "__ry"), y)
     return ranked.agg(F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias("pearson"), F.corr("__rx", "__ry").alias("spearman"))
