@@ -290,3 +290,15 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "d")).count() == 30
     w = spark.read.parquet(str(tmp_path / "w"))
     assert w.where("start = '2024-01-01 00:00:00' and g = 'b'").first()["n"] == 6
+
+
+def test_predict_step(spark):
+    from pyspark.ml.feature import Binarizer
+
+    from weftline.operators import ml
+
+    df = spark.createDataFrame([(1, 0.2), (2, 0.9)], "id int, x double")
+    out = ml.predict(df, Binarizer(threshold=0.5, inputCol="x", outputCol="y"), rename={"y": "label"})
+    assert out.columns == ["id", "x", "label"] and [r["label"] for r in out.orderBy("id").collect()] == [0.0, 1.0]
+    with pytest.raises(KeyError):
+        ml.predict(df, lambda d: d, columns=["absent"])

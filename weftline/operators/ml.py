@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.sampling import kfold
+from weftline.plans.registry import op
+
 
 
 def topic_tokens(df: DataFrame, tokens: str, stopwords: Sequence[str] = (), min_chars: int = 2, min_words: int = 6) -> DataFrame:
@@ -121,3 +123,18 @@ def impulse_response(series: DataFrame, columns: Sequence[str], order_by: str, l
 
     rows = series.dropna(subset=names).withColumn("__g", F.col(by).cast("string") if by else F.lit("all"))
     return rows.select("__g", order_by, *names).groupBy("__g").applyInPandas(run, "group string, step int, variable string, response double")
+
+
+@op("predict")
+def predict(df: DataFrame, model, columns: Sequence[str] | None = None, rename: dict[str, str] | None = None) -> DataFrame:
+    """df with a model's predictions: a fitted model's `transform`, or a function of a DataFrame; of its new columns those named (default: all), renamed.
+
+    Columns that df has already stay df's own; a name that the model does not give is refused.
+    """
+    found = model.transform(df) if hasattr(model, "transform") else model(df)
+    new = [c for c in found.columns if c not in df.columns]
+    missing = sorted(set(columns or ()) - set(new))
+    if missing:
+        raise KeyError(f"the model gives no {', '.join(missing)}")
+    names = rename or {}
+    return found.select(*[F.col(f"`{c}`") for c in df.columns if c in found.columns], *[F.col(f"`{c}`").alias(names.get(c, c)) for c in (columns or new)])

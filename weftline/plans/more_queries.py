@@ -377,3 +377,13 @@ def o08(spark, d):
     sampling.shuffle(table(spark, d, "orders").select("o_orderkey"), "o_orderkey").coalesce(1).write.parquet(path)
     back = spark.read.parquet(path).select("o_orderkey", F.monotonically_increasing_id().alias("at"))
     return relational.reset_index(back, "at", "place").select("o_orderkey", "place")
+
+
+@query("p20_predict", """SELECT doc_id, CASE WHEN len(ws) >= 5 THEN p END AS positive_words FROM (SELECT doc_id, list_filter(str_split_regex(lower(text), '\\s+'), lambda w: w <> '') AS ws, coalesce(len(list_filter(str_split_regex(lower(text), '\\s+'), lambda w: w IN ('the', 'and'))), 0) AS p FROM documents)""")
+def p20(spark, d):
+    from weftline.plans.registry import Pipeline
+
+    words = spark.createDataFrame([("the", 1, 0), ("and", 1, 0)], "word string, positive long, negative long")
+    model = lambda df: df.join(sentiment.lexicon_features(df, words, "doc_id"), "doc_id")
+    steps = [("predict", {"model": model, "columns": ["positive"], "rename": {"positive": "positive_words"}})]
+    return Pipeline(steps).run(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "positive_words")

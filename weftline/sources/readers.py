@@ -10,11 +10,14 @@ import lzma
 import tarfile
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that a parser hands on at a time.
+ROWS = 1000
 FORMATS = {".csv": "csv", ".tsv": "csv", ".json": "json", ".jsonl": "json", ".parquet": "parquet", ".orc": "orc", ".txt": "text"}
 
 
@@ -65,8 +68,9 @@ def load_archives(spark: SparkSession, path: str, parser: Callable[[str, bytes],
         for frame in frames:
             for file, data in zip(frame["path"], frame["content"], strict=True):
                 for member, content in _unpacked(file + suffix, bytes(data)):
-                    rows = list(parse(member, content, **options))
-                    yield pd.DataFrame({"path": [file] * len(rows), "member": [member] * len(rows)} | {n: [r.get(n) for r in rows] for n in names})
+                    parsed = iter(parse(member, content, **options))
+                    while rows := list(islice(parsed, ROWS)):  # a member's rows never stand all in memory
+                        yield pd.DataFrame({"path": [file] * len(rows), "member": [member] * len(rows)} | {n: [r.get(n) for r in rows] for n in names})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, f"path string, member string, {schema}")
 
