@@ -529,3 +529,39 @@ def test_near_duplicates_of_templates(spark):
     assert len(linked) > 500
     kept = {r["doc_id"] for r in near.keep_one(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     assert kept == {i for i in texts if find(i) == i}
+
+
+def test_pieces_of_several_words_by_enumeration():
+    """Samples of a text with a literal word mark and a character without a piece against all segmentations of its words."""
+    import math
+
+    v = pieces.vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    table = {p: (i, w) for p, i, w in zip(v["pieces"], v["ids"], v["weights"], strict=True)}
+    least = min(v["weights"]) - 5.0
+    spelt = lambda c: tuple(v["bytes"][b] for b in ("▁" if c == "\ud800" else c).encode())
+
+    def ways(x):
+        if not x:
+            yield (), 0.0
+        for n in range(1, len(x) + 1):
+            if x[:n] in table:
+                edge = ((table[x[:n]][0],), table[x[:n]][1])
+            elif n == 1:
+                edge = (spelt(x[0]), least)
+            else:
+                continue
+            for rest, w in ways(x[n:]):
+                yield edge[0] + rest, w + edge[1]
+
+    text, n = "so▁ \U0001f9ffto", 20_000
+    want = Counter({(): 1.0})
+    for word in text.replace("▁", "\ud800").split(" "):
+        found = Counter()
+        for ids, w in ways("▁" + word):
+            found[ids] += math.exp(w)
+        total = sum(found.values())
+        want = Counter({a + b: p * q / total for a, p in want.items() for b, q in found.items()})
+    ids, stops = pieces.Sampler(v, 1.0, 3).texts([text] * n, list(range(n)))
+    got = Counter(tuple(ids[a:b].tolist()) for a, b in zip(np.concatenate([[0], stops]), stops, strict=False))
+    assert set(got) <= set(want) and all(abs(got[k] / n - p) < 0.015 for k, p in want.items())
+    assert pieces.Decoder(v).text(ids[: stops[0]]).decode() == text
