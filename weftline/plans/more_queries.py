@@ -387,3 +387,25 @@ def p20(spark, d):
     model = lambda df: df.join(sentiment.lexicon_features(df, words, "doc_id"), "doc_id")
     steps = [("predict", {"model": model, "columns": ["positive"], "rename": {"positive": "positive_words"}})]
     return Pipeline(steps).run(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "positive_words")
+
+
+@query("n17_placed_ngrams", f"""WITH {_COUNTS}, k AS (SELECT count(*) AS k FROM c),
+    s AS (SELECT g.words, g.frequency::DOUBLE / (a.frequency::DOUBLE * b.frequency::DOUBLE) * k.k AS score FROM c g JOIN c a ON a.words = str_split(g.words, ';')[1] JOIN c b ON b.words = str_split(g.words, ';')[2] CROSS JOIN k WHERE g.length = 2),
+    d AS (SELECT doc_id, list_filter(str_split_regex(lower(text), '[^a-z]+'), lambda w: w <> '') AS t FROM documents),
+    p AS (SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: {{'start': i - 1, 'words': t[i] || ';' || t[i+1]}})) AS x FROM d)
+    SELECT doc_id, p.x.words AS words, p.x.start AS start, 2 AS length FROM p JOIN s ON s.words = p.x.words WHERE s.score >= 2.0""")
+def n17(spark, d):
+    tokens = _tokens(spark, d)
+    scores = ngrams.pmi_scores(ngrams.ngram_counts(tokens, "tokens", 2, 5))
+    return ngrams.find_ngrams(tokens, scores, "doc_id", "tokens", 2, 2.0, overlaps="keep").select("doc_id", "words", "start", "length")
+
+
+@query("t11_quotes_parentheses", "SELECT doc_id, replace('[a] {b} \"c\" ' || coalesce(lang, ''), chr(34), chr(39)) AS quotes FROM documents")
+def t11(spark, d):
+    c = F.concat(F.lit('[a] {b} "c" '), F.coalesce("lang", F.lit("")))
+    return table(spark, d, "documents").select("doc_id", T.single_quotes_only(c).alias("quotes"))
+
+
+@query("o01_sort_o06_distinct", "SELECT c_nationkey, c_mktsegment FROM customer GROUP BY 1, 2")
+def o01(spark, d):
+    return table(spark, d, "customer").select("c_nationkey", "c_mktsegment").distinct().orderBy("c_nationkey", "c_mktsegment")
