@@ -5,9 +5,11 @@ from __future__ import annotations
 import gzip
 import io
 import json
+import math
 import random
 import tarfile
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from weftline import corpus
 from weftline.functions import hangul
 from weftline.functions import text as T
-from weftline.operators import dedup, joins, metrics, ml, ngrams, relational, sampling, sentiment, sinks, subword, text
+from weftline.operators import branching, dedup, joins, metrics, ml, ngrams, relational, sampling, sentiment, sinks, subword, text
 from weftline.plans.registry import Pipeline, names
 from weftline.sources import readers
 from weftline.streaming import windows as streams
@@ -220,7 +222,7 @@ def test_subword(spark):
     model = subword.train_unigram(counts, 15)
     assert len(model) <= 15 and "".join(subword.unigram_word("newest", model)) == "newest"
     assert subword.digamma([1.0])[0] == pytest.approx(-0.5772156649, abs=1e-8)
-    assert "".join(subword.branching_word("lowest", subword.branching_scores(counts))) == "lowest"
+    assert subword.unigram_word("zz", model, low=subword.unknown_weight(model)) == subword.unigram_word("zz", model) == ["z", "z"]
     ids = spark.createDataFrame([([1, 2, 3],), ([],)], "x array<int>")
     assert [r[0] for r in ids.select(subword.padded(F.col("x"), 2)).collect()] == [[1, 2], [0, 0]]
 
@@ -302,3 +304,70 @@ def test_predict_step(spark):
     assert out.columns == ["id", "x", "label"] and [r["label"] for r in out.orderBy("id").collect()] == [0.0, 1.0]
     with pytest.raises(KeyError):
         ml.predict(df, lambda d: d, columns=["absent"])
+
+
+def _branching_by_hand(counts, word, threshold, longest=20, least=2):
+    """Pieces of one word, by listing all substrings."""
+    n = Counter()
+    for w, k in counts.items():
+        m = f"▁{w}▁"
+        for i in range(len(m)):
+            for j in range(i + 1, min(len(m), i + longest) + 1):
+                n[m[i:j]] += k
+    n = {p: k for p, k in n.items() if k >= least}
+    dg = lambda x: float(subword.digamma([float(x)])[0])
+
+    def entropy(p, side):
+        if p not in n:
+            return None
+        reach = {q for q in n if side(q, p)}
+        ends = [q for q in reach if not any(len(r) == len(q) + 1 and side(r, q) for r in reach)]
+        t = dg(sum(n[q] for q in ends) + n[p])
+        return round(-sum(math.exp(dg(n[q]) - t) * (dg(n[q]) - t) for q in ends), 10)
+
+    size = len(word)
+    f = {i: entropy("▁" + word[:i], str.startswith) for i in range(1, size + 1)}
+    b = {i: entropy(word[i:] + "▁", str.endswith) for i in range(1, size)}
+    c = {i: math.exp((dg(n[word[:i]]) - dg(n[word[0]])) / (i - 1)) for i in range(2, size + 1) if word[:i] in n}
+    step = lambda t, x, y: round(t[x] - t[y], 9) if t.get(x) and t.get(y) else 0
+    cuts = [0]
+    for i in range(2, size):
+        spike = step(b, i, i + 1) > 0 > step(b, i - 1, i) if i < size - 1 else step(f, i, i - 1) > 0 > step(f, i + 1, i)
+        if spike or (threshold is not None and step(c, i + 1, i) < threshold):
+            cuts.append(i)
+    return [("" if s else "▁") + word[s:e] for s, e in zip(cuts, [*cuts[1:], size], strict=True)]
+
+
+def test_branching(spark):
+    draw = random.Random(5)
+    counts = Counter(draw.choice(["invest", "compan", "market", "lower", "new"]) + draw.choice(["", "ment", "ing", "ed", "ies", "ity", "s"]) for _ in range(300))
+    counts |= {"x" * 45: 3, "a": 1, "zzz": 1}
+    words = spark.createDataFrame([*counts.items(), ("", 4)], "word string, n long")
+    for threshold in (0.0, None):
+        found = branching.branching_segments(words, branching.piece_counts(words), cohesion_threshold=threshold)
+        assert {r["word"]: r["pieces"] for r in found.collect()} == {w: _branching_by_hand(counts, w, threshold) for w in counts}
+    texts = spark.createDataFrame([(1, "new  newed"), (2, None), (3, "")], "i int, text string")
+    got = branching.branching_tokens(texts, "i", trained=branching.piece_counts(words)).collect()
+    assert sorted((r["i"], r["place"], "".join(r["pieces"])) for r in got) == [(1, 0, "▁new"), (1, 1, "▁newed")]
+    assert branching.branching_tokens(texts.limit(0), "i").count() == 0
+
+
+def test_range_join_bins(spark):
+    draw = random.Random(3)
+    ranges = [(a, a + draw.randrange(0, 40), f"v{i}") for i in range(300) for a in [draw.randrange(0, 500)]] + [(5, None, "open"), (None, 9, "none")]
+    points = [(i, draw.choice([None, 7, draw.randrange(-5, 560)])) for i in range(400)]
+    df, table = spark.createDataFrame(points, "i int, x int"), spark.createDataFrame(ranges, "s int, e int, v string")
+
+    def by_hand(x):
+        fits = [] if x is None else sorted((s, e, v) for s, e, v in ranges if s is not None and e is not None and s < x < e)
+        return fits[0][2] if fits else "other"
+
+    for bins in (1, 7, 200):
+        got = joins.range_join(df, table, "x", "s", "e", "v", "other", bins=bins).collect()
+        assert sorted((r["i"], r["v"]) for r in got) == [(i, by_hand(x)) for i, x in points]
+    text = joins.range_join(df.select("i", F.col("x").cast("string").alias("x")), table.selectExpr("cast(s as string) s", "cast(e as string) e", "v"), "x", "s", "e", "v")
+    assert text.count() == len(points)
+    days = table.selectExpr("date_add(date'2020-01-01', s) s", "date_add(date'2020-01-01', e) e", "v")
+    got = joins.range_join(df.selectExpr("i", "timestamp(date_add(date'2020-01-01', x)) x"), days, "x", "s", "e", "v", "other").collect()
+    assert sorted((r["i"], r["v"]) for r in got) == [(i, by_hand(x)) for i, x in points]
+    assert {r["v"] for r in joins.range_join(df, table.limit(0), "x", "s", "e", "v").collect()} == {None}

@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 from weftline.plans.registry import op
 from weftline.plans.tables import written
@@ -120,14 +121,38 @@ def asof_join(df: DataFrame, source: DataFrame, on: str, values: Sequence[str],
     return out.select(*df.columns, *[F.col(f"__hit.__{v}").alias(v if v not in df.columns else f"{v}_asof") for v in values], F.col(f"__hit.__{on}").alias(f"{on}_asof"))
 
 
+def _axis(df: DataFrame, c: str) -> Column | None:
+    """A column as a number in its own order; None where its type has none."""
+    kind = df.schema[c].dataType
+    if isinstance(kind, (DateType, TimestampType, TimestampNTZType)):
+        return F.col(c).cast("timestamp").cast("double")
+    return F.col(c).cast("double") if isinstance(kind, NumericType) else None
+
+
 @op("range_join")
-def range_join(df: DataFrame, ranges: DataFrame, at: str, start: str, end: str, value: str, default=None, order_by: str | None = None) -> DataFrame:
-    """The first range with start < at < end, both strict, gives its value; none gives the default. ranges is a small dimension, broadcast only by Spark's own size check."""
-    keyed = ranges.select(F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(value).alias("__v"), F.col(order_by or start).alias("__o"))
-    rows = df.withColumn("__row", F.monotonically_increasing_id())
-    hits = rows.join(keyed, (F.col("__s") < F.col(at)) & (F.col("__e") > F.col(at)), "left")
-    best = hits.groupBy("__row").agg(*[F.first(c).alias(c) for c in df.columns], F.min_by("__v", "__o").alias(value))
-    return best.select(*df.columns, (F.coalesce(F.col(value), F.lit(default)) if default is not None else F.col(value)).alias(value))
+def range_join(df: DataFrame, ranges: DataFrame, at: str, start: str, end: str, value: str, default=None, order_by: str | None = None, bins: int = 200) -> DataFrame:
+    """The first range by order_by (or start; then start, end, value) with start < at < end, both strict, gives its value; none gives the default.
+
+    Distinct times meet ranges by equality on bins of the axis, cut at quantiles of the ranges' starts, then come back to their rows,
+    so nothing is compared across bins and no wide row is grouped. A range is listed once for each bin it reaches into, `bins` times at
+    most. Columns without a numeric order (text) share one bin. Null times and ranges with a null end match nothing.
+    """
+    keyed = ranges.select(F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(value).alias("__v"), F.col(order_by or start).alias("__o")).where("__s < __e")
+    points = df.select(F.col(at).alias("__at")).where("__at is not null").distinct()
+    axes = [_axis(points, "__at"), _axis(keyed, "__s"), _axis(keyed, "__e")]
+    if any(a is None for a in axes):
+        point_bin, range_bins = F.lit(0), F.array(F.lit(0))
+    else:
+        cuts = keyed.select(axes[1].alias("x")).approxQuantile("x", [i / bins for i in range(1, bins)], 1 / (4 * bins)) if bins > 1 else []
+        edges = F.array(*map(F.lit, sorted(set(cuts)))).cast("array<double>")
+        of = lambda x: F.size(F.filter(edges, lambda e: e <= x))
+        point_bin, range_bins = of(axes[0]), F.sequence(of(axes[1]), of(axes[2]))
+    hits = points.withColumn("__bin", point_bin).join(keyed.withColumn("__bin", F.explode(range_bins)), "__bin").where("__s < __at and __at < __e")
+    first = F.min(F.struct(F.isnull("__o").alias("n"), "__o", "__s", "__e", "__v"))
+    best = hits.groupBy("__at").agg(first.alias("__best")).select("__at", F.struct(F.col("__best.__v").alias("v")).alias("__found"))
+    rows = df.join(best, F.col(at) == F.col("__at"), "left")
+    found = F.col("__found.v") if default is None else F.coalesce("__found.v", F.lit(default))
+    return rows.withColumn(value, found).select(*[c for c in df.columns if c != value], value)
 
 
 @op("lookup")

@@ -151,8 +151,9 @@ def train_unigram(counts: dict[str, int], size: int, max_length: int = 8, rounds
     while True:
         for _ in range(rounds):
             seen = Counter(dict.fromkeys((p for p in model if len(p) == 1), 0.5))
+            low = unknown_weight(model)
             for w, n in counts.items():
-                for p in unigram_word(w, model, max_length):
+                for p in unigram_word(w, model, max_length, low):
                     seen[p] += n
             model = logs(seen)
         if len(model) <= size:
@@ -167,9 +168,14 @@ def train_unigram(counts: dict[str, int], size: int, max_length: int = 8, rounds
             return model
 
 
-def unigram_word(word: str, model: dict[str, float], max_length: int = 8) -> list[str]:
-    """The best path over pieces; characters without a piece stand alone at a low weight."""
-    low = min(model.values(), default=0.0) - 10
+def unknown_weight(model: dict[str, float]) -> float:
+    """The weight of a character without a piece: below all pieces."""
+    return min(model.values(), default=0.0) - 10
+
+
+def unigram_word(word: str, model: dict[str, float], max_length: int = 8, low: float | None = None) -> list[str]:
+    """The best path over pieces; characters without a piece stand alone at a low weight, which callers with many words take once from the model."""
+    low = unknown_weight(model) if low is None else low
     best: list[tuple[float, int]] = [(0.0, 0)] + [(-math.inf, 0)] * len(word)
     for j in range(1, len(word) + 1):
         for i in range(max(0, j - max_length), j):
@@ -183,36 +189,6 @@ def unigram_word(word: str, model: dict[str, float], max_length: int = 8) -> lis
     return out[::-1]
 
 
-def branching_scores(counts: dict[str, int], max_length: int = 10) -> dict[str, tuple[float, float]]:
-    """(cohesion, right branching entropy) of every prefix of the counted words."""
-    prefix: Counter = Counter()
-    follow: dict[str, Counter] = defaultdict(Counter)
-    for w, n in counts.items():
-        for i in range(1, min(len(w), max_length) + 1):
-            prefix[w[:i]] += n
-            follow[w[:i]][w[i] if i < len(w) else END] += n
-    out = {}
-    for p, n in prefix.items():
-        shares = np.array(list(follow[p].values())) / sum(follow[p].values())
-        out[p] = ((n / prefix[p[0]]) ** (1 / (len(p) - 1)) if len(p) > 1 else 1.0, float(-(shares * np.log(shares)).sum()))
-    return out
-
-
-def branching_word(word: str, scores: dict[str, tuple[float, float]]) -> list[str]:
-    """Cut where the branching entropy of the prefix read so far rises."""
-    out, start = [], 0
-    while start < len(word):
-        at, last = start + 1, -1.0
-        while at < len(word):
-            entropy = scores.get(word[start:at], (0.0, 0.0))[1]
-            if last >= 0 and entropy > last:
-                break
-            last, at = entropy, at + 1
-        out.append(word[start:at])
-        start = at
-    return out
-
-
 def encode(c: Column, word) -> Column:
     """Pieces of a text's words by a function of one word, in Arrow batches; a batch's repeated words are cut once."""
 

@@ -524,17 +524,17 @@ def b04(spark, d):
     from weftline.operators import subword
 
     df = table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
-    model = subword.train_unigram(subword.word_counts(df, max_words=1000), 500, rounds=2)
-    return df.select("doc_id", F.size(subword.encode(F.col("text"), lambda w: subword.unigram_word(w, model))).alias("n_pieces"))
+    model = subword.train_unigram(subword.word_counts(df), 2000)
+    low = subword.unknown_weight(model)
+    return df.select("doc_id", F.size(subword.encode(F.col("text"), lambda w: subword.unigram_word(w, model, low=low))).alias("n_pieces"))
 
 
 @query("b06_branching", None)
 def b06(spark, d):
-    from weftline.operators import subword
+    from weftline.operators import branching
 
     df = table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
-    scores = subword.branching_scores(subword.word_counts(df))
-    return df.select("doc_id", F.size(subword.encode(F.col("text"), lambda w: subword.branching_word(w, scores))).alias("n_pieces"))
+    return branching.branching_tokens(df, "doc_id").groupBy("doc_id").agg(F.sum(F.size("pieces")).alias("n_pieces"))
 
 
 @query("g09_sentences", None)
@@ -549,7 +549,7 @@ def m03(spark, d):
     from weftline.operators import ml
 
     docs = ml.topic_tokens(_tokens(spark, d), "tokens")
-    model = ml.TopicModel(4, 2000, 5).fit(docs, "tokens")
+    model = ml.TopicModel().fit(docs, "tokens")
     return metrics.topic_coherence(docs, model.words(5), "doc_id", "tokens")
 
 
