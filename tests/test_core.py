@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from weftline import corpus
 from weftline.functions import hangul
 from weftline.functions import text as T
-from weftline.operators import branching, dedup, joins, metrics, ml, ngrams, relational, sampling, sentiment, sinks, subword, text
+from weftline.operators import branching, dedup, joins, lexicons, metrics, ml, ngrams, relational, sampling, sentiment, sinks, subword, text
 from weftline.plans.registry import Pipeline, names
 from weftline.sources import readers
 from weftline.streaming import windows as streams
@@ -371,3 +371,57 @@ def test_range_join_bins(spark):
     got = joins.range_join(df.selectExpr("i", "timestamp(date_add(date'2020-01-01', x)) x"), days, "x", "s", "e", "v", "other").collect()
     assert sorted((r["i"], r["v"]) for r in got) == [(i, by_hand(x)) for i, x in points]
     assert {r["v"] for r in joins.range_join(df, table.limit(0), "x", "s", "e", "v").collect()} == {None}
+
+
+def test_lexicons(spark):
+    table = spark.createDataFrame([("GAIN", 0, 2009, 0), ("Loss", 2009, 0, 0), ("loss", 0, 0, 7), ("may", 0, 0, 2009), (None, 1, 1, 1)], "Word string, Negative int, Positive int, Uncertainty int")
+    cut = lexicons.Lexicon("Word", ("Negative", "Positive", "Uncertainty"), lowercase=True, scores=lexicons.LM.scores)
+    rows = [(1, "a Gain is a gain and may be".split()), (2, "loss gain loss is all there is".split()), (3, "gain loss".split()), (4, []), (5, None), (6, "no word of it is in here".split())]
+    df = spark.createDataFrame(rows, "i int, t array<string>")
+    assert {(r["i"], r["words"], r["count"], r["Uncertainty"]) for r in lexicons.lexicon_entries(df, table, cut, "i", "t").collect()} == {
+        (1, "gain", 2, 0), (1, "may", 1, 2009), (2, "loss", 2, 7), (2, "gain", 1, 0), (3, "gain", 1, 0), (3, "loss", 1, 7)}
+    got = {r["i"]: (r["num_tokens"], r["polarity"], r["polarity_label"], r["uncertainty"]) for r in lexicons.lexicon_scores(df, table, cut, "i", "t", ("polarity", "uncertainty")).collect()}
+    assert got[1] == (8, pytest.approx(2 / (2 + 1e-6)), "positive", pytest.approx(1 / 8 + 1e-6))
+    assert got[2] == (7, pytest.approx(-1 / (3 + 1e-6)), "negative", pytest.approx(2 / 7 + 1e-6))
+    assert got[3] == (2, None, None, None) and got[4] == got[5] == (0, None, None, None) and got[6] == (7, None, None, None)
+    assert lexicons.lexicon_scores(df.limit(0), table, cut, "i", "t").count() == 0
+    assert lexicons.HIV4.features is None and len(lexicons.LM.features) == 8
+
+
+@pytest.mark.parametrize("policy", ["longest", "shortest", "highest", "highest_abs", "keep"])
+def test_lexicon_overlaps(spark, policy):
+    """Against all pairs of hits, listed by hand."""
+    draw = random.Random(11)
+    entries = {tuple(draw.choice("abcd") for _ in range(draw.choice([1, 2, 2, 3]))): draw.choice([-3, -1, 1, 2, 4]) for _ in range(30)}
+    table = spark.createDataFrame([(";".join(g), s) for g, s in entries.items()], "word string, s int")
+    spec = lexicons.Lexicon("word", ("s",), "s", max_n=3, max_window=4, max_skip=1, overlaps=policy)
+    texts = {i: [draw.choice("abcd") for _ in range(draw.choice([0, 1, 5, 9]))] for i in range(12)}
+    want = Counter()
+    for i, words in texts.items():
+        hits = []
+        for idx in ngrams.skip_indices(4, 3, 1):
+            for start in range(len(words) - idx[-1]):
+                gram = tuple(words[start + k] for k in idx)
+                if gram in entries:
+                    hits.append((gram, {start + k for k in idx}, entries[gram]))
+        if policy != "keep":
+            beats = {
+                "longest": lambda a, b: (len(b[0]), b[0]) > (len(a[0]), a[0]),
+                "shortest": lambda a, b: (-len(b[0]), abs(b[2])) > (-len(a[0]), abs(a[2])),
+                "highest": lambda a, b: (b[2], -len(b[0]), b[0]) > (a[2], -len(a[0]), a[0]),
+                "highest_abs": lambda a, b: (abs(b[2]), -len(b[0]), b[0]) > (abs(a[2]), -len(a[0]), a[0]),
+            }[policy]
+            many = [h for h in hits if len(h[0]) > 1]
+            kept = [a for a in many if not any(a[0] != b[0] and a[1] & b[1] and beats(a, b) for b in many)]
+            hits = kept + [h for h in hits if len(h[0]) == 1 and not any(h[1] & k[1] for k in kept)]
+        want.update((i, ";".join(h[0])) for h in hits)
+    df = spark.createDataFrame(list(texts.items()), "i int, t array<string>")
+    assert {(r["i"], r["words"]): r["count"] for r in lexicons.lexicon_entries(df, table, spec, "i", "t").collect()} == dict(want)
+
+
+def test_lexicon_tags(spark):
+    """Several tokens need a noun; surfaces match without tags and delimiters."""
+    table = spark.createDataFrame([("금리/NNG;인상/NNG", 1.0, "hawkish"), ("투기/NNG", 0.5, "hawkish"), ("하/XSV;어야/EC", 1.0, "none")], "word string, polarity double, label string")
+    spec = lexicons.Lexicon(**{**{f: getattr(lexicons.MPKO, f) for f in lexicons.Lexicon.__dataclass_fields__}, "features": ("label", "polarity")})
+    df = spark.createDataFrame([(1, ["투기/NNG", "를/JKO", "금리/NNP", "인상/NNG", "하/XSV", "어야/EC"])], "i int, t array<string>")
+    assert sorted(r["words"] for r in lexicons.lexicon_entries(df, table, spec, "i", "t").collect()) == ["금리/NNP;인상/NNG", "투기/NNG"]

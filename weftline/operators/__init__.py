@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("relational", "sampling", "joins", "windows", "text", "ngrams", "sentiment", "dedup", "metrics", "sinks", "archives", "ml", "branching")
+_MODULES = ("relational", "sampling", "joins", "windows", "text", "ngrams", "sentiment", "dedup", "metrics", "sinks", "archives", "ml", "branching", "lexicons")
 
 
 def load() -> None:

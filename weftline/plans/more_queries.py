@@ -409,3 +409,38 @@ def t11(spark, d):
 @query("o01_sort_o06_distinct", "SELECT c_nationkey, c_mktsegment FROM customer GROUP BY 1, 2")
 def o01(spark, d):
     return table(spark, d, "customer").select("c_nationkey", "c_mktsegment").distinct().orderBy("c_nationkey", "c_mktsegment")
+
+
+# Lexicons, curves, vocabularies.
+
+_LM_ROWS = (("THE", 1, 0, 0), ("Of", 0, 2009, 0), ("and", 2009, 0, 2011), ("with", 0, 0, 2009), ("was", 0, 1, 0))
+
+
+def _lm(spark):
+    from weftline.operators import lexicons
+
+    cut = lexicons.Lexicon("Word", ("Positive", "Negative", "Uncertainty"), "Negative", lowercase=True, scores=lexicons.LM.scores)
+    return spark.createDataFrame(_LM_ROWS, "Word string, Positive int, Negative int, Uncertainty int"), cut
+
+
+_LM_SQL = """lex(w, p, n, u) AS (VALUES ('the', 1, 0, 0), ('of', 0, 2009, 0), ('and', 2009, 0, 2011), ('with', 0, 0, 2009), ('was', 0, 1, 0)),
+    t AS (SELECT doc_id, list_filter(str_split_regex(lower(text), '[^a-z]+'), lambda w: w <> '') AS ws FROM documents), x AS (SELECT doc_id, unnest(ws) AS w FROM t)"""
+
+
+@query("e08_lexicon_entries", f"WITH {_LM_SQL} SELECT doc_id, w AS words, count(*) AS count, any_value(p)::INTEGER AS positive, any_value(u)::INTEGER AS uncertainty FROM x JOIN lex USING (w) GROUP BY doc_id, w")
+def e08(spark, d):
+    from weftline.operators import lexicons
+
+    rows, spec = _lm(spark)
+    return lexicons.lexicon_entries(_tokens(spark, d), rows, spec, "doc_id", "tokens").select("doc_id", "words", "count", F.col("Positive").alias("positive"), F.col("Uncertainty").alias("uncertainty"))
+
+
+@query("e03_declared_scores", f"""WITH {_LM_SQL}, s AS (SELECT doc_id, sum((p > 0)::INT) AS p, sum((n > 0)::INT) AS n, sum((u > 0)::INT) AS u FROM x JOIN lex USING (w) GROUP BY doc_id),
+    v AS (SELECT t.doc_id, coalesce(len(ws), 0) AS num_tokens, CASE WHEN len(ws) > 5 THEN (p - n) / (p + n + 1e-6) END AS pol, CASE WHEN len(ws) > 5 THEN u / len(ws) + 1e-6 END AS unc FROM t LEFT JOIN s USING (doc_id))
+    SELECT doc_id, num_tokens, round(pol, 6) AS polarity, round(unc, 6) AS uncertainty, CASE WHEN pol BETWEEN 0.2 AND 1 THEN 'positive' WHEN pol BETWEEN -0.2 AND 0.2 THEN 'neutral' WHEN pol BETWEEN -1 AND -0.2 THEN 'negative' END AS polarity_label FROM v""")
+def e03_declared(spark, d):
+    from weftline.operators import lexicons
+
+    rows, spec = _lm(spark)
+    out = lexicons.lexicon_scores(_tokens(spark, d), rows, spec, "doc_id", "tokens", ("polarity", "uncertainty"))
+    return out.select("doc_id", F.col("num_tokens").cast("long").alias("num_tokens"), _r(F.col("polarity")).alias("polarity"), _r(F.col("uncertainty")).alias("uncertainty"), "polarity_label")
