@@ -425,3 +425,32 @@ def test_lexicon_tags(spark):
     spec = lexicons.Lexicon(**{**{f: getattr(lexicons.MPKO, f) for f in lexicons.Lexicon.__dataclass_fields__}, "features": ("label", "polarity")})
     df = spark.createDataFrame([(1, ["투기/NNG", "를/JKO", "금리/NNP", "인상/NNG", "하/XSV", "어야/EC"])], "i int, t array<string>")
     assert sorted(r["words"] for r in lexicons.lexicon_entries(df, table, spec, "i", "t").collect()) == ["금리/NNP;인상/NNG", "투기/NNG"]
+
+
+@pytest.mark.parametrize("kind", ["bpe", "wordpiece"])
+def test_merges_by_hand(kind):
+    """Training against counting everything again before each merge."""
+    draw = random.Random(2)
+    counts = {"".join(draw.choice("abcd") for _ in range(draw.randrange(1, 9))): draw.randrange(1, 9) for _ in range(120)}
+    mark = "" if kind == "bpe" else "##"
+    words = {w: [w[0], *(mark + c for c in w[1:])] + (["</w>"] if kind == "bpe" else []) for w in counts}
+    letters, merges = {p for w in words.values() for p in w}, []
+    for _ in range(40):
+        one, two = Counter(), Counter()
+        for w, parts in words.items():
+            for p in parts:
+                one[p] += counts[w]
+            for a, b in zip(parts, parts[1:], strict=False):
+                two[a, b] += counts[w]
+        a, b = min(two, key=lambda p: (-two[p] if kind == "bpe" else -two[p] / (one[p[0]] * one[p[1]]), p))
+        merges.append((a, b))
+        for parts in words.values():
+            i = 0
+            while i + 1 < len(parts):
+                if parts[i : i + 2] == [a, b]:
+                    parts[i : i + 2] = [a + b.removeprefix("##")]
+                i += 1
+    if kind == "bpe":
+        assert subword.train_bpe(counts, 40) == merges
+    else:
+        assert subword.train_wordpiece(counts, 40) == sorted(letters | {a + b.removeprefix("##") for a, b in merges})

@@ -33,11 +33,11 @@ def _pairs(words: dict[tuple, int]) -> tuple[Counter, dict]:
     return counts, where
 
 
-def _merged(w: tuple, pair: tuple) -> tuple:
+def _merged(w: tuple, pair: tuple, joined: str) -> tuple:
     out, i = [], 0
     while i < len(w):
         if i + 1 < len(w) and (w[i], w[i + 1]) == pair:
-            out.append(w[i] + w[i + 1])
+            out.append(joined)
             i += 2
         else:
             out.append(w[i])
@@ -45,20 +45,25 @@ def _merged(w: tuple, pair: tuple) -> tuple:
     return tuple(out)
 
 
-def _train(words: dict[tuple, int], merges: int, best) -> list[tuple[str, str]]:
-    """Merge pairs one after another; only words that hold the pair are counted again."""
+def _train(words: dict[tuple, int], merges: int, rank, join) -> list[tuple[str, str]]:
+    """Merge the pair of least rank, time after time; only words that hold it are counted again. rank(pair, its count, counts of pieces)."""
     counts, where = _pairs(words)
+    single = Counter()
+    for w, n in words.items():
+        for p in w:
+            single[p] += n
     found = []
-    for _ in range(merges):
-        pair = best(counts, words)
-        if pair is None:
-            break
+    while counts and len(found) < merges:
+        pair = min(counts, key=lambda p: (rank(p, counts[p], single), p))
         found.append(pair)
         for w in list(where.pop(pair, ())):
             n = words.pop(w, 0)
             if not n:
                 continue
-            new = _merged(w, pair)
+            new = _merged(w, pair, join(*pair))
+            for old, sign in ((w, -n), (new, n)):
+                for p in old:
+                    single[p] += sign
             for p in zip(w, w[1:], strict=False):
                 counts[p] -= n
                 if counts[p] <= 0:
@@ -73,30 +78,19 @@ def _train(words: dict[tuple, int], merges: int, best) -> list[tuple[str, str]]:
 
 def train_bpe(counts: dict[str, int], merges: int) -> list[tuple[str, str]]:
     """Byte-pair merges, most frequent first, ties to the smaller pair; </w> ends a word."""
-    words = {(*w, END): n for w, n in counts.items()}
-    return _train(words, merges, lambda c, _: min(c, key=lambda p: (-c[p], p)) if c else None)
+    return _train({(*w, END): n for w, n in counts.items()}, merges, lambda p, n, _: -n, lambda a, b: a + b)
+
+
+def _inside(a: str, b: str) -> str:
+    return a + b.removeprefix("##")
 
 
 def train_wordpiece(counts: dict[str, int], merges: int) -> list[str]:
-    """A WordPiece vocabulary by the score f(ab) / (f(a) f(b)); pieces inside a word begin with ##."""
+    """A WordPiece vocabulary by the score f(ab) / (f(a) f(b)), ties to the smaller pair; pieces inside a word begin with ##."""
     words = {(w[0], *("##" + c for c in w[1:])): n for w, n in counts.items() if w}
-    vocabulary = {p for w in words for p in w}
-
-    def best(c: Counter, now: dict) -> tuple | None:
-        single = Counter()
-        for w, n in now.items():
-            for p in w:
-                single[p] += n
-        return min(c, key=lambda p: (-c[p] / (single[p[0]] * single[p[1]]), p)) if c else None
-
-    for _ in range(merges):
-        pair = best(_pairs(words)[0], words)
-        if pair is None:
-            break
-        joined = pair[0] + pair[1].removeprefix("##")
-        vocabulary.add(joined)
-        words = {tuple(joined if x == "".join(pair) else x for x in _merged(w, pair)): n for w, n in words.items()}
-    return sorted(vocabulary)
+    letters = {p for w in words for p in w}
+    pairs = _train(words, merges, lambda p, n, single: -n / (single[p[0]] * single[p[1]]), _inside)
+    return sorted(letters | {_inside(*p) for p in pairs})
 
 
 def bpe_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
@@ -106,7 +100,7 @@ def bpe_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
         pair = min(zip(w, w[1:], strict=False), key=lambda p: ranks.get(p, math.inf))
         if pair not in ranks:
             break
-        w = _merged(w, pair)
+        w = _merged(w, pair, pair[0] + pair[1])
     return list(w)
 
 

@@ -519,6 +519,15 @@ def b01(spark, d):
     return df.select("doc_id", F.size(subword.encode(F.col("text"), lambda w: subword.bpe_word(w, ranks))).alias("n_pieces"))
 
 
+@query("b03_wordpiece", None)
+def b03(spark, d):
+    from weftline.operators import subword
+
+    df = table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
+    vocabulary = set(subword.train_wordpiece(subword.word_counts(df), 200))
+    return df.select("doc_id", F.size(subword.encode(F.col("text"), lambda w: subword.wordpiece_word(w, vocabulary))).alias("n_pieces"))
+
+
 @query("b04_unigram", None)
 def b04(spark, d):
     from weftline.operators import subword
