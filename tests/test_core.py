@@ -11,6 +11,8 @@ import tarfile
 import zipfile
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,6 +193,36 @@ def test_minhash_groups_of_a_family(spark):
     assert len(linked) > 1000 and got == {i: find(i) for i in texts}
 
 
+def test_minhash_groups_write_no_sets(spark):
+    """What is written in between stays near the size of the texts: sets of hashes, eight bytes a character, are not."""
+    from pathlib import Path
+
+    from weftline.plans import tables
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=6000)) for _ in range(120)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t[:3000] + "#" + t[3000:]) for i, t in enumerate(texts)] + [(2000 + i, t) for i, t in enumerate(texts)]
+    folder = Path(tables.shared_dir(spark))
+    used = lambda: sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+    before = used()
+    got = {r["id"]: r["group"] for r in dedup.minhash_groups(spark.createDataFrame(rows, "id long, text string"), "id", threshold=0.8).collect()}
+    assert got == {i: i % 1000 for i, _ in rows}
+    assert used() - before < 2.5 * sum(len(t) for _, t in rows)
+
+
+def test_signatures_rule_out_no_similar_pair():
+    rng = np.random.Generator(np.random.PCG64(5))
+    for n in (1, 3, 40, 700, 5000):
+        x = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        for share in (0.0, 0.05, 0.1, 0.11, 0.2, 0.5):
+            y = np.unique(np.concatenate([x[int(len(x) * share) :], rng.integers(0, 2**64, int(len(x) * share), dtype=np.uint64)]))
+            both = len(np.intersect1d(x, y))
+            similar = both >= 0.8 * (len(x) + len(y) - both)
+            can = dedup._signature_pair(dedup.signature(x), dedup.signature(y), 0.8)
+            block = dedup._signature_block(pa.table({"root": [1, 2], "set": pa.array([dedup.signature(x), dedup.signature(y)], pa.binary())}), 0.8, False)
+            assert (can or not similar) and block == (([0], [1]) if can else ([], [])) and not (share == 0.5 and n > 40 and can)
+
+
 def test_banding():
     for threshold in (0.3, 0.5, 0.8, 0.95):
         bands, rows = dedup.banding(threshold, 128)
