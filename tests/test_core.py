@@ -8,6 +8,7 @@ import json
 import math
 import random
 import tarfile
+import time
 import zipfile
 from collections import Counter
 
@@ -193,6 +194,91 @@ def test_minhash_groups_of_a_family(spark):
     assert len(linked) > 1000 and got == {i: find(i) for i in texts}
 
 
+def test_placed_ngrams_and_overlaps(spark):
+    """Runs of rows give the n-grams that a plain loop gives; a long row's overlaps are settled as one after another would be, in time that does not grow with their square."""
+    rng = random.Random(3)
+    lists = [[rng.choice("abcd") for _ in range(rng.randrange(9))] for _ in range(50)] + [None, [], ["a", None, "b"]]
+    table = pa.table({"id": list(range(len(lists))), "t": pa.array(lists, pa.list_(pa.string()))})
+    patterns = [*ngrams._patterns(3), (0, 2), (0, 1, 3)]
+    got = Counter((idx, texts[int(g)].as_py(), int(r), int(s)) for idx, texts, which, rows, starts in ngrams._grams(table, patterns) for g, r, s in zip(which, rows, starts, strict=True))
+    want = Counter((idx, ";".join(t[s + k] for k in idx if t[s + k] is not None), r, s) for idx in patterns for r, t in enumerate(lists) if t for s in range(len(t) - idx[-1]))
+    assert got == want
+    for _ in range(50):
+        n = rng.randrange(40)
+        start, length = np.array([rng.randrange(30) for _ in range(n)], np.int64), np.array([rng.randrange(1, 4) for _ in range(n)], np.int64)
+        kept: list[int] = []
+        for i in range(n):
+            if all(start[i] + length[i] <= start[k] or start[k] + length[k] <= start[i] for k in kept):
+                kept.append(i)
+        assert ngrams.best_apart(start, length).tolist() == kept
+    df = spark.createDataFrame([(1, [f"w{i % 50}" for i in range(30_000)])], "id long, t array<string>")
+    began = time.time()
+    scores = ngrams.ngram_counts(df, "t", 2).withColumn("score", F.col("frequency").cast("double"))
+    assert ngrams.find_ngrams(df, scores, "id", "t", 2, 1.0).count() == 15_000
+    assert time.time() - began < 60
+
+
+def test_ngram_counts_deal_words_before_adding(spark):
+    """No task adds up the counts of a whole split: there is no aggregate before the shuffle by n-gram."""
+    plan = ngrams.ngram_counts(spark.createDataFrame([(["a", "b"],)], "t array<string>"), "t", 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [words" in plan and plan.index("Aggregate") < plan.index("RepartitionByExpression") < plan.index("MapInArrow")
+
+
+def test_pmi_scores_count_once(spark):
+    """Scores read their counts from a table: the tokens are not cut and counted again for each side."""
+    counts = ngrams.ngram_counts(spark.createDataFrame([(["a", "b", "a", "b"],)], "t array<string>"), "t", 2)
+    for out in (ngrams.pmi_scores(counts), ngrams.cohesion_scores(counts), ngrams.branching_entropy(counts)):
+        assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lexicon_words_go_before_the_shuffle(spark):
+    df = spark.createDataFrame([(1, "good bad good other words here"), (2, "nothing of it at all now")], "id long, text string")
+    lexicon = spark.createDataFrame([("good", 1, 0), ("bad", 0, 1), ("bad", 0, 2)], "word string, positive long, negative long")
+    out = sentiment.lexicon_features(df, lexicon, "id")
+    assert {tuple(r) for r in out.collect()} == {(1, 6, 2, 3), (2, 6, 0, 0)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "broadcast" in plan
+
+
+def test_exact_sums(spark):
+    """Cents add up whatever their order: a sum of doubles loses them."""
+    rows = [("a", 0.1), ("a", 1e12), ("a", 0.2)] + [("a", 0.01)] * 1000
+    out = relational.aggregate_columns(spark.createDataFrame(rows, "k string, v double"), "k", {"v": ["sum_exact"]}).first()
+    assert str(out["v_sum_exact"]) == "1000000000010.300000"
+
+
+def test_encode_hands_on_a_few_texts_at_a_time(spark):
+    column = subword.encode(F.col("t"), lambda w: list(w))
+    rows = [(i, None if i % 7 == 0 else "ab c" * (i % 3)) for i in range(500)]
+    got = {r["i"]: r["p"] for r in spark.createDataFrame(rows, "i long, t string").select("i", column.alias("p")).collect()}
+    assert got == {i: None if t is None else [c for w in t.split() for c in w] for i, t in rows}
+    chunks = list(subword._pieces(list)(iter([pa.array([t for _, t in rows], pa.string())])))
+    assert len(chunks) > 1 and max(map(len, chunks)) <= subword.ROWS
+
+
+def test_archives_are_files_of_bounded_size_read_as_streams(spark, tmp_path, monkeypatch):
+    from weftline.operators import archives
+
+    monkeypatch.setattr(archives, "FRAME_BYTES", 1000)
+    rows = spark.createDataFrame([(f"text {i} " + "x" * 300,) for i in range(200)], "text string").coalesce(1)
+    for kind, parser in (("jsonl", "jsonlines"), ("dat", "dat")):
+        path = str(tmp_path / kind)
+        archives.save_archive(rows, path, kind)
+        assert len(list((tmp_path / kind).glob("part-*"))) > 1
+        back = readers.load_archives(spark, path, parser, suffix=f".{kind}.zst")
+        assert sorted(r["text"] for r in back.collect()) == sorted(r["text"] for r in rows.collect())
+    ((name, content),) = readers._unpacked(f"a.dat.zst", next((tmp_path / "dat").glob("part-*")).read_bytes())
+    assert name == "a.dat" and isinstance(content, io.BufferedReader)
+
+
+def test_group_texts_sends_slices(spark):
+    df = spark.createDataFrame([(i, list(range(i * 10, i * 10 + i))) for i in range(30)] + [(40, None), (41, [])], "id long, ids array<int>").withColumn("k", F.lit(0))
+    out = metrics.group_texts(df, "ids", "id", 7, by="k")
+    flat = [x for i in range(30) for x in range(i * 10, i * 10 + i)]
+    assert {r["block"]: r["ids"] for r in out.collect()} == {b: flat[b * 7 : b * 7 + 7] for b in range(len(flat) // 7)}
+    assert "posexplode" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_minhash_groups_write_no_sets(spark):
     """What is written in between stays near the size of the texts: sets of hashes, eight bytes a character, are not."""
     from pathlib import Path
