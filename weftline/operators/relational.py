@@ -96,7 +96,7 @@ def top_values(df: DataFrame, id_var: str | Sequence[str], label_var: str, value
 
 #: Aggregates by the names that specifications use.
 AGGREGATES = {
-    "sum": F.sum, "mean": F.avg, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count, "median": F.median, "std": F.stddev_samp, "var": F.var_samp,
+    "sum": F.sum, "sum_exact": lambda c: F.sum(F.col(c).cast("decimal(28,6)")), "mean": F.avg, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count, "median": F.median, "std": F.stddev_samp, "var": F.var_samp,
     "first": F.first, "last": F.last, "nunique": F.count_distinct, "size": lambda c: F.count(F.lit(1)), "list": F.collect_list, "set": F.collect_set,
 }
 
