@@ -20,6 +20,8 @@ from weftline.plans.registry import op
 _SKIP = struct.pack("<II", 0x184D2A50, 0)
 #: Bytes of records at which a frame is closed, whatever their number.
 FRAME_BYTES = 16 << 20
+#: Frames of a file at most, so that a reader that holds a file whole holds no more than these.
+FRAMES = 8
 
 PACK = {
     "jsonl": lambda records: b"".join(r + b"\n" for r in records),
@@ -52,7 +54,7 @@ def save_archive(df: DataFrame, path: str, kind: str = "jsonl", text: str = "tex
 
     frames = df.where(F.col(text).isNotNull()).select(line.alias("value")).mapInArrow(run, "value binary")
     writer = frames.select(F.col("value").cast("string")).write.mode("overwrite").option("encoding", "ISO-8859-1").option("lineSep", _SKIP.decode("latin-1")).option("compression", "none")
-    (writer.option("maxRecordsPerFile", 1) if kind == "json" else writer).text(path)
+    writer.option("maxRecordsPerFile", 1 if kind == "json" else FRAMES).text(path)
     return df
 
 

@@ -36,8 +36,11 @@ def load_dataframe(spark: SparkSession, path: str | Sequence[str], format: str |
     return df.where(query) if query else df
 
 
-def _unpacked(name: str, data: bytes) -> Iterator[tuple[str, bytes]]:
-    """(member, content) of an archive or a compressed file, by its suffix; nested compression is undone too."""
+PACKED = (".tar", ".tar.gz", ".tgz", ".tar.xz", ".tar.bz2", ".zip", ".gz", ".bz2", ".xz", ".zst")
+
+
+def _unpacked(name: str, data: bytes) -> Iterator[tuple[str, bytes | io.BufferedReader]]:
+    """(member, content) of an archive or a compressed file, by its suffix; nested compression is undone too. A Zstandard file is a stream, read as it is parsed."""
     if name.endswith((".tar", ".tar.gz", ".tgz", ".tar.xz", ".tar.bz2")):
         with tarfile.open(fileobj=io.BytesIO(data)) as t:
             for m in t:
@@ -54,7 +57,12 @@ def _unpacked(name: str, data: bytes) -> Iterator[tuple[str, bytes]]:
     elif name.endswith(".zst"):
         import zstandard
 
-        yield from _unpacked(name.removesuffix(".zst"), zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True).read())
+        inner = name.removesuffix(".zst")
+        stream = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True)
+        if inner.endswith(PACKED):
+            yield from _unpacked(inner, stream.read())
+        else:
+            yield inner, io.BufferedReader(stream, 1 << 20)
     else:
         yield name, data
 
@@ -67,7 +75,9 @@ def load_archives(spark: SparkSession, path: str, parser: Callable[[str, bytes],
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for file, data in zip(frame["path"], frame["content"], strict=True):
-                for member, content in _unpacked(file + suffix, bytes(data)):
+                for member, content in _unpacked(file + suffix, data):
+                    if isinstance(content, io.BufferedReader) and parse not in STREAMED:
+                        content = content.read()
                     parsed = iter(parse(member, content, **options))
                     while rows := list(islice(parsed, ROWS)):  # a member's rows never stand all in memory
                         yield pd.DataFrame({"path": [file] * len(rows), "member": [member] * len(rows)} | {n: [r.get(n) for r in rows] for n in names})
@@ -75,6 +85,10 @@ def load_archives(spark: SparkSession, path: str, parser: Callable[[str, bytes],
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, f"path string, member string, {schema}")
 
 
+def _stream(data: bytes | io.BufferedReader) -> io.BufferedReader | io.BytesIO:
+    return io.BytesIO(data) if isinstance(data, (bytes, bytearray, memoryview)) else data
+
+
 def _plain(name: str, data: bytes, encoding: str = "utf-8") -> Iterator[dict]:
     yield {"text": data.decode(encoding, "replace")}
 
@@ -86,7 +100,7 @@ def _lines(name: str, data: bytes, encoding: str = "utf-8") -> Iterator[dict]:
 
 def _jsonlines(name: str, data: bytes, field: str = "text", separator: str = "\n\n") -> Iterator[dict]:
     """A document a line; a list of texts is joined; bad lines are skipped."""
-    for line in data.splitlines():
+    for line in (x for part in _stream(data) for x in part.splitlines()):
         try:
             row = json.loads(line)
         except ValueError:
@@ -107,11 +121,9 @@ def _json(name: str, data: bytes, field: str | None = None, text: str = "text",
 
 def _dat(name: str, data: bytes) -> Iterator[dict]:
     """Records with their length in bytes before them, 16 digits."""
-    at = 0
-    while at < len(data):
-        end = at + 16 + int(data[at : at + 16])
-        yield {"text": data[at + 16 : end].decode()}
-        at = end
+    stream = _stream(data)
+    while head := stream.read(16):
+        yield {"text": stream.read(int(head)).decode()}
 
 
 def _mail(name: str, data: bytes) -> Iterator[dict]:
@@ -187,6 +199,8 @@ def _redif(name: str, data: bytes) -> Iterator[dict]:
 
 #: Parsers by name: (member name, bytes, options) to rows.
 PARSERS = {"plaintext": _plain, "plaintext_split": _lines, "jsonlines": _jsonlines, "json": _json, "dat": _dat, "email": _mail, "html": _html, "redif": _redif}
+#: Parsers that read streams as well as bytes.
+STREAMED = (_jsonlines, _dat)
 
 
 def html_column(c: Column) -> Column:
