@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators import ngrams
-from weftline.operators.sentiment import CLASSES, EPS, last_match
+from weftline.operators.sentiment import CLASSES, EPS, known, last_match
 from weftline.plans.registry import op
 from weftline.plans.tables import written
 
@@ -129,16 +129,17 @@ def lexicon_entries(df: DataFrame, table: DataFrame, spec: Lexicon, id_key: str,
     t = F.transform(tokens, lambda w: F.lower(w)) if spec.lowercase else F.col(tokens)
     listed = df.select(id_key, t.alias("__t"))
     if spec.max_n == 1:
-        counted = listed.select(id_key, F.explode("__t").alias("words")).groupBy(id_key, "words").agg(F.count(F.lit(1)).alias("count"))
         key = _surface(F.array("words")) if spec.surfaces else F.col("words")
-        return counted.withColumn("__key", key).join(entries, "__key").select(id_key, "words", "count", *features)
+        held = known(listed.select(id_key, F.explode("__t").alias("words")).withColumn("__key", key), entries.select("__key"), "__key")
+        counted = held.groupBy(id_key, "words", "__key").agg(F.count(F.lit(1)).alias("count"))
+        return counted.join(entries, "__key").select(id_key, "words", "count", *features)
     placed = listed.select(id_key, F.explode(_placed(F.col("__t"), spec)).alias("g")).select(id_key, "g.gram", "g.at")
     if spec.tags:
         tagged = F.exists("gram", lambda w: F.greatest(*[F.contains(w, F.lit(x)) for x in spec.tags], F.lit(False)))
         placed = placed.where((F.size("gram") == 1) | tagged)
     key = _surface(F.col("gram")) if spec.surfaces else F.array_join("gram", ngrams.SEP)
     score = F.col(spec.score).cast("double") if spec.score else F.lit(None).cast("double")
-    hits = placed.withColumn("__key", key).join(entries, "__key").select(id_key, "gram", "at", score.alias("__s"), *features)
+    hits = known(placed.withColumn("__key", key), entries.select("__key"), "__key").join(entries, "__key").select(id_key, "gram", "at", score.alias("__s"), *features)
     if spec.overlaps != "keep":
         hits = _apart(hits, id_key, spec.overlaps)
     return hits.groupBy(id_key, F.array_join("gram", ngrams.SEP).alias("words")).agg(F.count(F.lit(1)).alias("count"), *[F.first(f).alias(f) for f in features])

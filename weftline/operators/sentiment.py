@@ -36,15 +36,27 @@ def first_match(value: Column, classes: Sequence[tuple[str, float, float]]) -> C
 CLASSES = (("negative", -1.0, -0.2), ("neutral", -0.2, 0.2), ("positive", 0.2, 1.0))
 
 
+#: Entries up to which a lexicon's words are broadcast, a count that is made first.
+BROADCAST = 200_000
+
+
+def known(rows: DataFrame, words: DataFrame, key: str) -> DataFrame:
+    """rows whose key is among the words, if these are few enough to be broadcast; else all rows, for a join that follows."""
+    few = words.limit(BROADCAST + 1).count() <= BROADCAST
+    return rows.join(F.broadcast(words), key, "left_semi") if few else rows
+
+
 @op("lexicon_features")
 def lexicon_features(df: DataFrame, lexicon: DataFrame, id_key: str, text: str = "text", word: str = "word", features: Sequence[str] = ("positive", "negative"), min_tokens: int = 5, lowercase: bool = True) -> DataFrame:
     """(id, num_tokens, one sum for each feature): every row, zero where nothing matched, null where there are fewer than min_tokens words.
 
-    Words are counted within the row first, so a row joins the lexicon once for each distinct word.
+    Words that a lexicon of bounded size does not have go before anything is shuffled; the others are counted within the row first, so a
+    row joins the lexicon once for each distinct word.
     """
     tokens = T.words(F.lower(text) if lowercase else F.col(text))
     rows = df.select(id_key, tokens.alias("__t"))
-    counted = rows.select(id_key, F.explode("__t").alias(word)).groupBy(id_key, word).agg(F.count(F.lit(1)).alias("__c"))
+    listed = known(rows.select(id_key, F.explode("__t").alias(word)), lexicon.select(word), word)
+    counted = listed.groupBy(id_key, word).agg(F.count(F.lit(1)).alias("__c"))
     hits = counted.join(lexicon.select(word, *features), word).groupBy(id_key).agg(*[F.sum(F.col(f) * F.col("__c")).alias(f) for f in features])
     n = F.coalesce(F.size("__t"), F.lit(0))
     joined = rows.select(id_key, n.alias("num_tokens")).join(hits, id_key, "left")
