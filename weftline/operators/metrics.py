@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.sentiment import known
 from weftline.plans.registry import op
 from weftline.plans.tables import written
 
@@ -127,17 +128,23 @@ def group_texts(df: DataFrame, ids: str, order_by: str, block: int, by: str | No
     rows = df.select(key.alias("__k"), order_by, ids)
     w = Window.partitionBy("__k").orderBy(order_by).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("__at", F.coalesce(F.sum(F.size(ids)).over(w), F.lit(0)))
-    flat = placed.select("__k", "__at", F.posexplode(ids).alias("p", "id"))
-    at = F.col("__at") + F.col("p")
-    blocks = flat.groupBy("__k", F.floor(at / block).alias("block")).agg(F.array_sort(F.collect_list(F.struct(at.alias("a"), "id"))).alias("x"))
-    return blocks.where(F.size("x") == block).select(F.col("__k").alias("part"), "block", F.transform("x", lambda e: e["id"]).alias(ids))
+    # A row goes to each of its blocks as one slice, not as single tokens.
+    at, end = F.col("__at"), F.col("__at") + F.size(ids)
+    spread = placed.where(F.size(ids) > 0).withColumn("block", F.explode(F.sequence(F.floor(at / block), F.floor((end - 1) / block))))
+    low, high = F.greatest(at, F.col("block") * block), F.least(end, (F.col("block") + 1) * block)
+    cut = spread.select("__k", "block", F.struct(low.alias("a"), F.slice(ids, (low - at + 1).cast("int"), (high - low).cast("int")).alias("ids")).alias("e"))
+    blocks = cut.groupBy("__k", "block").agg(F.array_sort(F.collect_list("e")).alias("x"))
+    full = blocks.select(F.col("__k").alias("part"), "block", F.flatten(F.transform("x", lambda e: e["ids"])).alias(ids))
+    return full.where(F.size(ids) == block)
 
 
 @op("topic_coherence")
 def topic_coherence(df: DataFrame, topics: DataFrame, id_key: str, tokens: str, measure: str = "u_mass") -> DataFrame:
     """(topic, coherence) of topics (topic, word, rank) by documents' co-occurrence: u_mass or c_npmi, means over word pairs."""
     words = topics.select("word").distinct()
-    seen = df.select(F.col(id_key).alias("d"), F.explode(F.array_distinct(tokens)).alias("word")).join(words, "word", "left_semi")
+    # The topics' words are few, as a rule: others go where they are read, and texts are cut once.
+    seen = known(df.select(F.col(id_key).alias("d"), F.explode(F.array_distinct(tokens)).alias("word")), words, "word")
+    seen = written(seen.join(words, "word", "left_semi"), "topic-words")
     n = F.lit(float(df.count()))
     single = seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     pairs = topics.alias("x").join(topics.alias("y"), (F.col("x.topic") == F.col("y.topic")) & (F.col("x.rank") > F.col("y.rank"))).select("x.topic", F.col("x.word").alias("a"), F.col("y.word").alias("b"))

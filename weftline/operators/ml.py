@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.sampling import kfold
 from weftline.plans.registry import op
+from weftline.plans.tables import written
 
 
 
@@ -35,7 +36,8 @@ class TopicModel:
     def fit(self, df: DataFrame, tokens: str) -> TopicModel:
         self.tokens = tokens
         self.counts = CountVectorizer(inputCol=tokens, outputCol="__counts", vocabSize=self.size, minDF=2).fit(df)
-        self.model = self.lda.fit(self.counts.transform(df))
+        # Written: every iteration reads its documents again, which would cut and count all texts each time.
+        self.model = self.lda.fit(written(self.counts.transform(df).select("__counts"), "topic-counts"))
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -46,9 +48,9 @@ class TopicModel:
 
     def words(self, n: int = 10) -> DataFrame:
         """(topic, rank, word, weight)."""
-        vocabulary = F.array(*[F.lit(w) for w in self.counts.vocabulary])
-        rows = self.model.describeTopics(n).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
-        return rows.select("topic", "rank", F.get(vocabulary, F.col("t.termIndices")).alias("word"), F.col("t.termWeights").alias("weight"))
+        found, vocabulary = self.model.describeTopics(n), self.counts.vocabulary
+        rows = [(t["topic"], rank, vocabulary[i], w) for t in found.collect() for rank, (i, w) in enumerate(zip(t["termIndices"], t["termWeights"], strict=True))]
+        return found.sparkSession.createDataFrame(rows, "topic int, rank int, word string, weight double")
 
     def log_likelihood_per_word(self, df: DataFrame) -> float:
         counted = self.counts.transform(df)
