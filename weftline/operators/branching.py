@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
+from weftline.operators.ngrams import ngram_counts, placed_ngrams
 from weftline.plans.registry import op
 from weftline.plans.tables import written
 
@@ -36,7 +37,7 @@ def digamma(n: Column) -> Column:
 @op("word_table")
 def word_table(df: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) of all distinct words of all rows."""
-    return df.select(F.explode(T.words(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return ngram_counts(df.select(T.words(F.col(text)).alias("__words")), "__words", 1).select(F.col("words").alias("word"), F.col("frequency").alias("n"))
 
 
 def _heads(c: Column) -> Column:
@@ -122,5 +123,7 @@ def branching_tokens(df: DataFrame, id_key: str, text: str = "text", trained: Da
     limit = options.get("max_length", 20)
     counted = trained if trained is not None else piece_counts(words, limit, options.pop("min_count", 2))
     segments = written(branching_segments(words, counted, **options), "branching-segments")
-    placed = df.select(id_key, F.posexplode(T.words(F.col(text))).alias("place", "word"))
-    return placed.join(segments, "word").select(id_key, "place", "pieces")
+    # A word meets its pieces once for each run of rows that hold it.
+    placed = placed_ngrams(df.select(id_key, T.words(F.col(text)).alias("__words")), id_key, "__words")
+    met = placed.join(segments, placed["words"] == segments["word"]).select("pieces", F.explode(F.arrays_zip("ids", "starts")).alias("p"))
+    return met.select(F.col("p.ids").alias(id_key), F.col("p.starts").alias("place"), "pieces")
